@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -120,3 +121,15 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     terms = (_LOWER[buffer[inside]].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[place]
     hashes = mixed(np.add.reduceat(terms, starts) + lengths.astype(np.uint64) * _GOLD)
     return hashes, np.concatenate(([0], np.searchsorted(first, ends)))
+
+
+def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about `most` characters together, so that arrays over them stay small."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= most:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, topk, url_filter, warc
-from .common import new_path, read
+from . import chat, lm, packing, quality, topk, url_filter, warc
+from .common import new_path, read, remainder
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,13 @@ SELECT page_id, host, path, CASE WHEN rank = 0 THEN key END AS rule, coalesce(ve
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), "quality", remainder("doc_id", 3) != 1)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -77,6 +84,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
+    model = lm.train(docs, ~held_out)
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -95,5 +110,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
        CASE WHEN n >= 1000 AND page_id < kept THEN kept END AS refers_to FROM k
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_url_filter, op6_exact_topk, op8_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_url_filter, op5_quality, op6_exact_topk, op7_lm_score, op8_packing, op10_warc)}
 SQL = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op6_exact_topk": OP6_SQL, "op10_warc": OP10_SQL}
