@@ -80,7 +80,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def seeded(x: np.ndarray, seed: int) -> np.ndarray:
-    return mixed(x + _GOLD * np.uint64(seed + 1))
+    return mixed(x + np.uint64((int(_GOLD) * (seed + 1)) & 0xFFFFFFFFFFFFFFFF))
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, packing, quality, topk, url_filter, warc
+from . import chat, lm, neardup, packing, quality, topk, url_filter, warc
 from .common import new_path, read, remainder
 
 
@@ -38,6 +38,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.createDataFrame([(k, 0, v) for k, v in url_filter.RULES] + [(k, 1, "block") for k in url_filter.LISTED], "key string, rank int, verdict string")
     judged = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), entries)
@@ -110,5 +114,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
        CASE WHEN n >= 1000 AND page_id < kept THEN kept END AS refers_to FROM k
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_url_filter, op5_quality, op6_exact_topk, op7_lm_score, op8_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_neardup, op3_url_filter, op5_quality, op6_exact_topk, op7_lm_score, op8_packing, op10_warc)}
 SQL = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op6_exact_topk": OP6_SQL, "op10_warc": OP10_SQL}
