@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, neardup, packing, quality, topk, url_filter, warc
+from . import chat, html, lm, neardup, packing, quality, topk, url_filter, warc
 from .common import new_path, read, remainder
 
 
@@ -65,6 +65,10 @@ SELECT page_id, host, path, CASE WHEN rank = 0 THEN key END AS rule, coalesce(ve
 """
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.train(docs, read(spark, sf_dir, "labels"), "quality", remainder("doc_id", 3) != 1)
@@ -114,5 +118,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
        CASE WHEN n >= 1000 AND page_id < kept THEN kept END AS refers_to FROM k
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_neardup, op3_url_filter, op5_quality, op6_exact_topk, op7_lm_score, op8_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_neardup, op3_url_filter, op4_html_extract, op5_quality, op6_exact_topk, op7_lm_score, op8_packing, op10_warc)}
 SQL = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op6_exact_topk": OP6_SQL, "op10_warc": OP10_SQL}
