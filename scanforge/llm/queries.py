@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, lm, neardup, packing, quality, topk, url_filter, warc
+from . import chat, decontam, html, lm, neardup, packing, quality, topk, url_filter, warc
 from .common import new_path, read, remainder
 
 
@@ -104,6 +104,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(read(spark, sf_dir, "pages"), path)
@@ -118,5 +122,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
        CASE WHEN n >= 1000 AND page_id < kept THEN kept END AS refers_to FROM k
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_neardup, op3_url_filter, op4_html_extract, op5_quality, op6_exact_topk, op7_lm_score, op8_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_neardup, op3_url_filter, op4_html_extract, op5_quality, op6_exact_topk, op7_lm_score, op8_packing, op9_decontam, op10_warc)}
 SQL = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op6_exact_topk": OP6_SQL, "op10_warc": OP10_SQL}
