@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import _GOLD, _M1, _M2, local_path, mixed, new_path, slices, word_hashes
 
-WORD_BITS = 5
+#: Input bytes for each bucket of words.
+BUCKET_BYTES = 16 << 20
 #: Bigrams of a task that are counted together, and training tokens for each bucket of bigrams.
 HELD = 4_000_000
 BUCKET_TOKENS = 2_000_000
@@ -99,6 +100,13 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
+def bucket_bounds(sorted_keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket (the top bits of a key) starts, and the end."""
+    if not bits:
+        return np.array([0, len(sorted_keys)])
+    return np.searchsorted(sorted_keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
 class Counter:
     """Counts of a task's keys, passed on when there are many."""
 
@@ -115,7 +123,7 @@ class Counter:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             k, c = _summed(self.keys, self.counts)
-            at = np.searchsorted(k >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else np.array([0, len(k)])
+            at = bucket_bounds(k, self.bits)
             full = np.flatnonzero(np.diff(at))
             yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([k[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()), pa.array([c[at[b] : at[b + 1]].astype(np.uint32).tobytes() for b in full], pa.binary())], ["bucket", "keys", "counts"])
         self.keys, self.counts, self.held = [], [], 0
@@ -132,6 +140,7 @@ class Model:
     folder: str
     bases: np.ndarray  # the first word id of each bucket of words, and V
     train_tokens: int
+    word_bits: int
     bits: int = 0
     bigram: tuple = (0.5, 1.0, 1.5)
     unigram: tuple = (0.5, 1.0, 1.5)
@@ -155,10 +164,10 @@ class Model:
         """Ids (-1: unknown) and training counts."""
         unique, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
-        at = np.searchsorted(unique >> np.uint64(64 - WORD_BITS), np.arange((1 << WORD_BITS) + 1, dtype=np.uint64))
-        for b in range(1 << WORD_BITS):
+        at = bucket_bounds(unique, self.word_bits)
+        for b in np.flatnonzero(np.diff(at)):
             own = slice(at[b], at[b + 1])
-            if at[b] < at[b + 1] and self.bases[b] < self.bases[b + 1]:
+            if self.bases[b] < self.bases[b + 1]:
                 keys, c = self.file(f"words-{b}.hash", "<u8"), self.file(f"words-{b}.count", "<u8")
                 place = np.minimum(np.searchsorted(keys, unique[own]), len(keys) - 1)
                 known = keys[place] == unique[own]
@@ -181,7 +190,7 @@ class Model:
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
         unique, back = np.unique(keys, return_inverse=True)
         counts = np.zeros(len(unique), np.int64)
-        at = np.searchsorted(unique >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)) if self.bits else np.array([0, len(unique)])
+        at = bucket_bounds(unique, self.bits)
         for b in np.flatnonzero(np.diff(at)):
             own = slice(at[b], at[b + 1])
             known, c = self.file(f"bigrams-{b}.hash", "<u8"), self.file(f"bigrams-{b}.count", "<u4")
@@ -235,9 +244,12 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text") -> Model:
     spark = docs.sparkSession
     folder = new_path(spark, "lm")
     texts = docs.filter(usable).select(F.col(text_col).alias("text"))
+    # Buckets follow the input's size as the plan knows it, so a bucket's task stays as small.
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    word_bits = max(3, min(20, (size // BUCKET_BYTES).bit_length()))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(WORD_BITS)
+        counter = Counter(word_bits)
         for batch in batches:
             own = batch.column(0).to_pylist()
             for a, b in slices(own):
@@ -250,9 +262,9 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text") -> Model:
         return pd.DataFrame({"bucket": [key[0]], "words": [len(k)], "tokens": [int(c.sum())]})
 
     sizes = texts.mapInArrow(count_words, _PACKED).groupBy("bucket").applyInPandas(write_words, "bucket long, words long, tokens long").toPandas()  # a row per bucket
-    per = np.zeros(1 << WORD_BITS, np.int64)
+    per = np.zeros(1 << word_bits, np.int64)
     per[sizes["bucket"]] = sizes["words"]
-    model = Model(folder, np.concatenate(([0], np.cumsum(per))), int(sizes["tokens"].sum()))
+    model = Model(folder, np.concatenate(([0], np.cumsum(per))), int(sizes["tokens"].sum()), word_bits)
     if not model.train_tokens:
         return model
     model.bits = max(0, int(model.train_tokens // BUCKET_TOKENS).bit_length())
