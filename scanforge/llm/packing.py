@@ -16,6 +16,7 @@ if a lost task is repeated over the same input.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 1024
 END_ID = 0
-#: Distinct pretokens whose ids a worker keeps; the table is emptied when full.
+#: Distinct words whose ids a worker keeps; the table is emptied when full.
 CACHED_WORDS = 400_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -38,36 +39,72 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def _byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """The vocabulary as bytes, if its ids rank the merges, as byte-level BPE files have them."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    vocabulary = model["vocab"]
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if any(vocabulary.get(m) != 256 + i for i, m in enumerate(merged)):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(merged)}
+
+
 class Encoder:
     """Byte-level BPE ids of whole texts.
 
-    The merges never cross the pretokens that the tokenizer's own pattern cuts, so each distinct
-    pretoken is encoded once by the tokenizer and looked up afterwards.
+    Tokens never reach over a space with no white space after it, so a text's words, each with the
+    space before it, have the ids that they have in the text; each distinct word is encoded once. The
+    same vocabulary in ranked form gives the ids of `tokenizers` (a test compares them); a tokenizer
+    of another kind is used as it is, text by text.
     """
 
     def __init__(self, path: str):
+        import json
+
         import public_tokenizers
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, list[int]] = {}
+        self.encode, self.known = None, {}  # from a word to the packed ids of the word with a space before it
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") is None and all(split.get(k) == v for k, v in _BYTE_LEVEL.items()) and (ranks := _byte_ranks(spec["model"])):
+            self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
 
     def __call__(self, text: str) -> np.ndarray:
-        words, known = self.cut(text), self.known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        out.append(END_ID)
-        return np.array(out, "<u4")
+        if self.encode is None:
+            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
+        if "  " in text:
+            return np.array([*self.encode(text), END_ID], "<u4")
+        first, *words = text.split(" ")
+        packed, known = list(map(self.known.get, words)), self.known
+        if None in packed:
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            for i, ids in enumerate(packed):
+                if ids is None:
+                    packed[i] = known[words[i]] = array("I", self.encode(" " + words[i])).tobytes()
+        return np.frombuffer(b"".join([array("I", self.encode(first)).tobytes(), *packed, _END]), "<u4")
+
+
+_END = array("I", [END_ID]).tobytes()
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class SumOfSquares:
@@ -126,7 +163,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     path = tokenizer or default_tokenizer()
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(path), SumOfSquares(window)
+        encode, packer = encoder(path), SumOfSquares(window)
         sequence = (TaskContext.get().partitionId() << 40) - 1
         rows: list[tuple] = []
 
