@@ -120,6 +120,50 @@ def _ecef(lat: np.ndarray, lon: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.stack([(g.A / c + h) * np.cos(phi) * np.cos(lam), (g.A / c + h) * np.cos(phi) * np.sin(lam), (g.A * (1 - g.EE) / c + h) * np.sin(phi)], -1)
 
 
+def _llh(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Latitude, longitude and height by Bowring's iteration on the reduced latitude, to a nanometre near the ground."""
+    x, y, z = p[..., 0], p[..., 1], p[..., 2]
+    r = np.hypot(x, y)
+    beta = np.arctan2(z * g.A, r * g.B)
+    for _ in range(3):
+        phi = np.arctan2(z + g.EE2 * g.B * np.sin(beta) ** 3, r - g.EE * g.A * np.cos(beta) ** 3)
+        beta = np.arctan2((1 - g.FLATTENING) * np.sin(phi), np.cos(phi))
+    n = g.A / np.sqrt(1 - g.EE * np.sin(phi) ** 2)
+    height = np.where(np.abs(phi) < 1.5, r / np.cos(phi) - n, np.abs(z) / np.maximum(np.abs(np.sin(phi)), 1e-12) - n * (1 - g.EE))
+    return np.degrees(phi), np.degrees(np.arctan2(y, x)), height
+
+
+def _turned(axis: int, angle: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Vectors turned about an axis (0 x, 1 y, 2 z) by degrees."""
+    c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    i, j = (axis + 1) % 3, (axis + 2) % 3
+    out = v.copy()
+    out[:, i], out[:, j] = c * v[:, i] - s * v[:, j], s * v[:, i] + c * v[:, j]
+    return out
+
+
+def _directions(f: pd.DataFrame, combine: bool) -> np.ndarray:
+    """The rays' directions in the earth-centred frame, as look_to_ecef has them."""
+    v = np.tile([0.0, 0.0, 1.0], (len(f), 1))
+    view, attitude = (f["rx"], f["ry"], f["rz"]), (f["roll"], f["pitch"], f["heading"])
+    turns = [[a + b for a, b in zip(view, attitude, strict=True)]] if combine else [view, attitude]
+    for rx, ry, rz in turns:
+        for axis, angle in ((1, ry), (0, rx), (2, rz)):
+            v = _turned(axis, angle.to_numpy(float), v)
+    return _turned(2, f["lon"].to_numpy(float), _turned(1, -(f["lat"].to_numpy(float) + 90), v))
+
+
+def _raised_hit(o: np.ndarray, d: np.ndarray, height: np.ndarray, level: float) -> np.ndarray:
+    """Distances to the ellipsoid raised by level; not a number without one ahead."""
+    s = np.array([1 / (g.A + level) ** 2] * 2 + [1 / (g.B + level) ** 2])
+    a, b, c = (d * d * s).sum(1), 2 * (o * d * s).sum(1), (o * o * s).sum(1) - 1
+    with np.errstate(invalid="ignore"):
+        root = np.sqrt(b * b - 4 * a * c)
+    near, far = (root - b) / (2 * a), (-b - root) / (2 * a)
+    hit = np.where((near - height) ** 2 < (far - height) ** 2, near, far)
+    return np.where(hit >= 0, hit, np.nan)
+
+
 def ray_triangles(origin: np.ndarray, direction: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """distances of one ray to planes of triangles (rows), infinite where it misses: barycentric u, v >= -EDGE, u + v <= 1 + EDGE."""
     e1, e2 = b - a, c - a
@@ -139,20 +183,38 @@ def locate_on_dem(scans: DataFrame, views: DataFrame, dem: DataFrame, left: floa
 
     The terrain is two triangles between neighbouring heights (r, c, h), cut along the diagonal from upper left to lower right.
     """
+    if views.limit(MAX_VIEWS + 1).count() > MAX_VIEWS:
+        raise ValueError("view vectors must be one for each sample of a detector")
     low, high = dem.agg(F.min("h"), F.max("h")).first()
-    p = rays(scans, views, combine)
+    p = scans.select("scan", "lat", "lon", "hei", "roll", "pitch", "heading").crossJoin(F.broadcast(views.select("sample", "rx", "ry", "rz")))
+    none = F.lit(None).cast("double")
     if low is None:
-        none = F.lit(None).cast("double")
         return p.select("scan", "sample", none.alias("lon"), none.alias("lat"), none.alias("height"), none.alias("distance"))
-    o, d = (F.col("x"), F.col("y"), F.col("z")), (F.col("dx"), F.col("dy"), F.col("dz"))
-    for name, level in (("near", high + 1.0), ("far", low - 1.0)):
-        lat, lon, _ = g.ecef_to_llh(*_hit(g.ray_ellipsoid(o, d, F.col("hei"), level)))
-        p = p.withColumns({f"{name}_r": (F.lit(top) - lat) / yspace, f"{name}_c": (lon - left) / xspace})
-    cell = lambda f, name, shift: (F.floor(f(f"near_{name}", f"far_{name}")) + shift).cast("long")
-    p = p.withColumns({"r0": cell(F.least, "r", -1), "r1": cell(F.greatest, "r", 1), "c0": cell(F.least, "c", -1), "c1": cell(F.greatest, "c", 1)})
+    kinds = dict(p.dtypes)
+    names = ["x", "y", "z", "dx", "dy", "dz"]
+
+    def aim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rays and the cells under their path between the highest and the lowest terrain, grown by one."""
+        for f in frames:
+            o, d = _ecef(f["lat"].to_numpy(float), f["lon"].to_numpy(float), f["hei"].to_numpy(float)), _directions(f, combine)
+            down = -(o * d).sum(1) / np.linalg.norm(o, axis=1)
+            ends = []
+            for level in (high + 1.0, low - 1.0):
+                lat, lon, _ = _llh(o + _raised_hit(o, d, f["hei"].to_numpy(float), level)[:, None] * d)
+                ends.append(((top - lat) / yspace, (lon - left) / xspace))
+            rows, cols = np.sort([ends[0][0], ends[1][0]], 0), np.sort([ends[0][1], ends[1][1]], 0)
+            out = pd.DataFrame(np.hstack((o, d)), columns=names)
+            out.insert(0, "sample", f["sample"].to_numpy())
+            out.insert(0, "scan", f["scan"].to_numpy())
+            seen = np.isfinite(rows).all(0) & np.isfinite(cols).all(0) & (down >= np.cos(np.radians(MAX_VIEW_ANGLE)))
+            for name, cell in (("r0", rows[0] - 1), ("r1", rows[1] + 1), ("c0", cols[0] - 1), ("c1", cols[1] + 1)):
+                out[name] = np.floor(np.where(seen, cell, 0)).astype(np.int64)
+            yield out[seen]
+
+    rays = p.mapInPandas(aim, f"scan {kinds['scan']}, sample {kinds['sample']}, " + ", ".join(f"{n} double" for n in names) + ", r0 long, r1 long, c0 long, c1 long")
     tiles = lambda a, b: F.sequence(F.floor(F.col(a) / TILE), F.floor(F.col(b) / TILE))
-    ray = F.struct("sample", "x", "y", "z", "dx", "dy", "dz", "r0", "r1", "c0", "c1")
-    asked = p.filter("near_r IS NOT NULL AND far_r IS NOT NULL").select("scan", ray.alias("ray"), F.explode(tiles("r0", "r1")).alias("tr"), tiles("c0", "c1").alias("tcs")).select("scan", "ray", "tr", F.explode("tcs").alias("tc"))
+    ray = F.struct("sample", *names, "r0", "r1", "c0", "c1")
+    asked = rays.select("scan", ray.alias("ray"), F.explode(tiles("r0", "r1")).alias("tr"), tiles("c0", "c1").alias("tcs")).select("scan", "ray", "tr", F.explode("tcs").alias("tc"))
     asked = asked.groupBy("scan", "tr", "tc").agg(F.collect_list("ray").alias("rays"))
     # A tile has the heights of its cells and of the next row and column.
     share = lambda c: F.explode(F.array_distinct(F.array(F.floor(F.col(c) / TILE), F.floor((F.col(c) - 1) / TILE))))
@@ -180,8 +242,14 @@ def locate_on_dem(scans: DataFrame, views: DataFrame, dem: DataFrame, left: floa
                         out.append((scan, q["sample"], float(np.nanmin(t))))
             yield pd.DataFrame(out, columns=["scan", "sample", "distance"])
 
-    kinds = dict(p.dtypes)
     hits = pairs.mapInPandas(march, f"scan {kinds['scan']}, sample {kinds['sample']}, distance double").groupBy("scan", "sample").agg(F.min("distance").alias("distance"))
     p = p.join(hits, ["scan", "sample"], "left")
-    lat, lon, hei = g.ecef_to_llh(*_hit(F.col("distance")))
-    return p.select("scan", "sample", lon.alias("lon"), lat.alias("lat"), hei.alias("height"), "distance")
+
+    def land(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            o, d = _ecef(f["lat"].to_numpy(float), f["lon"].to_numpy(float), f["hei"].to_numpy(float)), _directions(f, combine)
+            lat, lon, height = _llh(o + f["distance"].to_numpy(float)[:, None] * d)
+            yield pd.DataFrame({"scan": f["scan"], "sample": f["sample"], "lon": lon, "lat": lat, "height": height, "distance": f["distance"]})
+
+    out = p.mapInPandas(land, f"scan {kinds['scan']}, sample {kinds['sample']}, lon double, lat double, height double, distance double")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("lon", "lat", "height", "distance")})

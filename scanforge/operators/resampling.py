@@ -136,29 +136,40 @@ def map_idw(cells: DataFrame, points: DataFrame, level1: DataFrame, k: int, radi
     return out.select(*CELL, "band", F.when(F.col("least") == 0, F.col("first")).otherwise(F.col("top") / F.col("weight")).alias("value"))
 
 
-def with_uv(cells: DataFrame) -> DataFrame:
-    """Adds (u, v) in [0, 1] of (cx, cy) in the quadrilateral of the structs UL, UR, BL, BR, by the quadratic for v; null outside it.
+def bilinear_uv(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) in [0, 1] of points in quadrilaterals (rows of UL, UR, BL, BR) by the quadratic for v; not a number outside.
 
-    With e = UR - UL, f = BL - UL and g = UL - UR - BL + BR, (cx, cy) = UL + u e + v f + u v g. Each
-    step has its own columns, so that no expression is repeated inside another.
+    With e = UR - UL, f = BL - UL and g = UL - UR - BL + BR, the point is UL + u e + v f + u v g.
     """
-    at = lambda q, c: F.col(f"{q}.{c}")
-    d = cells
-    for c in "xy":
-        d = d.withColumns({f"_e{c}": at("UR", c) - at("UL", c), f"_f{c}": at("BL", c) - at("UL", c), f"_g{c}": at("UL", c) - at("UR", c) - at("BL", c) + at("BR", c), f"_h{c}": F.col(f"c{c}") - at("UL", c)})
-    cross = lambda a, b: F.col(f"_{a}x") * F.col(f"_{b}y") - F.col(f"_{a}y") * F.col(f"_{b}x")
-    d = d.withColumns({"_k2": cross("g", "f"), "_k1": cross("e", "f") + cross("h", "g"), "_k0": cross("h", "e")})
-    k0, k1, k2 = F.col("_k0"), F.col("_k1"), F.col("_k2")
-    d = d.withColumn("_root", F.sqrt(F.greatest(k1 * k1 - 4 * k0 * k2, F.lit(0.0))))
-    # The stable forms of both roots.
-    d = d.withColumn("_q", -0.5 * (k1 + F.when(k1 < 0, -F.col("_root")).otherwise(F.col("_root"))))
-    d = d.withColumns({"_v1": F.try_divide(k0, F.col("_q")), "_v2": F.try_divide(F.col("_q"), k2)})
-    inside = lambda c: (F.col(c) >= -1e-9) & (F.col(c) <= 1 + 1e-9)
-    flat = F.abs(k2) < 1e-12 * (F.abs(k1) + F.abs(k0) + 1e-300)
-    d = d.withColumn("v", F.when(flat, F.try_divide(-k0, k1)).when(inside("_v1"), F.col("_v1")).when(inside("_v2"), F.col("_v2")))
-    d = d.withColumns({"_w": F.col("_ex") + F.col("_gx") * F.col("v"), "_t": F.col("_ey") + F.col("_gy") * F.col("v")})
-    across, down = F.try_divide(F.col("_hx") - F.col("_fx") * F.col("v"), F.col("_w")), F.try_divide(F.col("_hy") - F.col("_fy") * F.col("v"), F.col("_t"))
-    return d.withColumn("u", F.when(F.abs("_w") >= F.abs("_t"), across).otherwise(down)).drop(*[c for c in d.columns if c.startswith("_")])
+    (ex, ey), (fx, fy), (gx, gy), (hx, hy) = ((x[:, 1] - x[:, 0], y[:, 1] - y[:, 0]), (x[:, 2] - x[:, 0], y[:, 2] - y[:, 0]), (x[:, 0] - x[:, 1] - x[:, 2] + x[:, 3], y[:, 0] - y[:, 1] - y[:, 2] + y[:, 3]), (px - x[:, 0], py - y[:, 0]))
+    k2, k1, k0 = gx * fy - gy * fx, ex * fy - ey * fx + hx * gy - hy * gx, hx * ey - hy * ex
+    with np.errstate(all="ignore"):
+        root = np.sqrt(np.maximum(k1 * k1 - 4 * k0 * k2, 0))
+        q = -0.5 * (k1 + np.where(k1 < 0, -root, root))  # the stable form of both roots
+        one, two = k0 / q, q / k2
+        inside = lambda c: (c >= -1e-9) & (c <= 1 + 1e-9)
+        flat = np.abs(k2) < 1e-12 * (np.abs(k1) + np.abs(k0) + 1e-300)
+        v = np.where(flat, -k0 / k1, np.where(inside(one), one, np.where(inside(two), two, np.nan)))
+        wide, tall = ex + gx * v, ey + gy * v
+        u = np.where(np.abs(wide) >= np.abs(tall), (hx - fx * v) / wide, (hy - fy * v) / tall)
+    good = inside(u) & inside(v)
+    return np.where(good, u, np.nan), np.where(good, v, np.nan)
+
+
+def with_uv(cells: DataFrame) -> DataFrame:
+    """Adds u and v of (cx, cy) in the structs UL, UR, BL, BR; null outside. In one vectorised function: as columns each step would be repeated within the next."""
+
+    def solve(*columns: pd.Series) -> pd.DataFrame:
+        a = [c.to_numpy(float) for c in columns]
+        u, v = bilinear_uv(np.stack(a[:4], 1), np.stack(a[4:8], 1), a[8], a[9])
+        return pd.DataFrame({"u": u, "v": v})
+
+    # Not deterministic to the optimiser, so that a later filter does not evaluate it a second time.
+    solved = F.pandas_udf(solve, "u double, v double").asNondeterministic()
+    corners = [F.col(f"{q}.{c}") for c in "xy" for q in QUADRANTS]
+    d = cells.withColumn("_uv", solved(*corners, F.col("cx"), F.col("cy")))
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    return d.withColumns({"u": clean("_uv.u"), "v": clean("_uv.v")}).drop("_uv")
 
 
 def weighted_corners(cells: DataFrame) -> DataFrame:
@@ -196,7 +207,7 @@ def map_cubic(cells: DataFrame, points: DataFrame, level1: DataFrame, radius: fl
     """Cubic Hermite over sixteen points, four of each quadrant in rows of four: along x for each row, then along y."""
     near = with_values(nearest_by_quadrant(cells, points, 4, radius).select(*CELL, "cx", "cy", "x", "y", "line", "sample", "quadrant"), level1, bands)
     sixteen = near.groupBy(*CELL, "band", "cx", "cy").agg(F.array_sort(F.collect_list(F.struct("quadrant", (-F.col("y")).alias("down"), "x", F.col("value").cast("double").alias("value")))).alias("p")).filter(F.size("p") == 16)
-    flat = sixteen.select(*CELL, "band", "cx", "cy", *[F.transform("p", lambda s, n=n: s[n]).alias(n) for n in ("x", "down", "value")])
+    flat = sixteen.select(*CELL, "band", "cx", "cy", *[F.col(f"p.{n}").alias(n) for n in ("x", "down", "value")])
 
     def evaluate(frames):
         for f in frames:
@@ -228,7 +239,7 @@ def map_quads(cells: DataFrame, points: DataFrame, level1: DataFrame, radius: fl
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("corner"), (F.col("l0") + i // 2).alias("line"), (F.col("s0") + i % 2).alias("sample")) for i in range(4)]))
     c = quads.select("*", corner.alias("c")).select(*CELL, "cx", "cy", "order", "c.*").join(points.select("line", "sample", "x", "y"), ["line", "sample"])
     whole = c.groupBy(*CELL, "cx", "cy", "order").agg(*[F.max(F.when(F.col("corner") == i, F.struct("x", "y", "line", "sample"))).alias(q) for i, q in enumerate(QUADRANTS)], F.count("*").alias("n")).filter("n = 4")
-    whole = with_uv(whole).filter("u BETWEEN -1e-9 AND 1 + 1e-9 AND v BETWEEN -1e-9 AND 1 + 1e-9")
+    whole = with_uv(whole).filter("u IS NOT NULL AND v IS NOT NULL")
     best = whole.withColumn("_r", F.row_number().over(Window.partitionBy(*CELL).orderBy("order"))).filter("_r = 1")
     parts = weighted_corners(best)
     alone = near.filter("rank = 1").join(best.select(*CELL), CELL, "left_anti").select(*CELL, "line", "sample", F.lit(1.0).alias("w"))
