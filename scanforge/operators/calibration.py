@@ -203,7 +203,7 @@ def fill_gaps(lines: DataFrame, by: str = "flight") -> DataFrame:
     Numbers come from a running sum of the steps: no second sort over all lines.
     """
     own = frame_deltas(lines, by)
-    at = F.sum(F.coalesce(F.greatest("delta", F.lit(1)), F.lit(0))).over(Window.partitionBy(by).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    at = F.sum(F.when(F.col("delta").isNull(), 0).otherwise(F.greatest("delta", F.lit(1)))).over(Window.partitionBy(by).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     own = own.withColumn("out_line", at.cast("long"))
     filler = own.filter("delta > 1").select(by, F.explode(F.sequence(F.col("out_line") - F.col("delta") + 1, F.col("out_line") - 1)).alias("out_line"))
     filler = filler.select(by, F.lit(None).cast("long").alias("line"), "out_line", F.lit(DROPPED).alias("mask"))

@@ -246,7 +246,7 @@ def missing_total_a10(spark, sf):
     return cal.missing_frames(lines(spark, sf))
 
 
-@query("WITH " + DELTAS + """, o AS (SELECT *, sum(coalesce(greatest(delta, 1), 0)) OVER (PARTITION BY flight ORDER BY line)::BIGINT AS out_line FROM d)
+@query("WITH " + DELTAS + """, o AS (SELECT *, sum(CASE WHEN delta IS NULL THEN 0 ELSE greatest(delta, 1) END) OVER (PARTITION BY flight ORDER BY line)::BIGINT AS out_line FROM d)
 SELECT flight, line, out_line, 0 AS mask FROM o UNION ALL SELECT flight, NULL, unnest(range(out_line - delta + 1, out_line)), 16 FROM o WHERE delta > 1""")
 def gap_fill_w2(spark, sf):
     return cal.fill_gaps(lines(spark, sf))
