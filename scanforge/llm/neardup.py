@@ -7,13 +7,15 @@ comes after its latest register, all at once in array arithmetic. Two texts shar
 the probability Jaccard similarity J_P of their weighted shingles, so equal bands of registers
 propose pairs, and the exact J_P of the two whole texts decides.
 
-Scale. Equal texts are collapsed first by a digest of their words. A bucket of equal bands is never
-expanded into pairs: each of its members meets two pivots, the least and the greatest by a hash that
-changes with the round, if they are of another class. Verified links join classes (least id, with
-pointer jumping; kept in stored tables); buckets inside one class drop out. Rounds go on until one
-finds no link; the first uses few bands and only each text's most frequent pivot, which settles
-large groups of copies with one comparison for each text. A hot bucket is a skewed join that Spark
-splits, and partly aggregated counts.
+Scale. Equal texts are collapsed first by a digest of their words, and only buckets (equal bands) of
+several texts are kept. A bucket is never expanded into pairs: in each round its members meet one
+pivot, the member with the most neighbours over all its buckets (later rounds weigh that by a hash,
+so pivots change), if that is of another class; of its pivots each text is compared with the one
+that it meets most often. So a round compares each text once, at most, and large groups of copies
+settle on their original in the first. Verified links join classes (least id, with pointer jumping,
+in stored tables); buckets inside one class drop out, and no pair is compared twice. Rounds go on
+until one (after the third) finds no link. A hot bucket is a skewed join that Spark splits, and
+partly aggregated counts; the texts in question are stored once and joined by id.
 
 A row per document: class_id is the least doc_id of its class. Words are separated by space and
 0x09-0x0D, A-Z are lower-cased. Texts without words (null, empty) are copies of each other. Texts are
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from .common import mixed, seeded, slices, small, stored, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-FIRST_BANDS = 4
+LEAST_ROUNDS = 3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,10 +131,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, "doc_id long, key binary, bands array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose whole texts have a J_P of at least `least`."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(small(wanted, 16), "doc_id", "left_semi")
+def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) of ids in texts (doc_id, text) whose whole texts have a J_P of at least `least`."""
     both = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,45 +166,78 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Members (bucket, node, degree) of the buckets that several nodes share; degree sums the sizes of a node's buckets."""
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = stored(rows.join(sizes, "bucket"), "buckets")
+    degrees = shared.groupBy("node").agg(F.sum("size").alias("degree"))
+    return stored(shared.select("bucket", "node").join(degrees, "node"), "members")
+
+
+def meet_pivots(members: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
+    """Members of the buckets of several classes with their bucket's pivot (a) and size."""
+    m = members.withColumn("label", F.col("node")) if classes is None else members.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    chance = (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) + 1) / 1000
+    m = m.withColumn("order", F.col("degree") * (F.lit(1.0) if turn == 0 else chance))
+    pivots = m.groupBy("bucket").agg(F.max(F.struct("order", "node", "label", "degree")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high")
+    pivots = pivots.select("bucket", "size", F.col("p.node").alias("a"), F.col("p.label").alias("a_label"), F.col("p.order").alias("a_order"), F.col("p.degree").alias("a_degree"))
+    return stored(m.join(pivots, "bucket"), "met")
+
+
+def one_pair_each(met: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Pairs (a: pivot, b) of different classes, one for each node at most, that were not tested before."""
+    met = met.filter("label <> a_label").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("votes"), F.max("a_order").alias("order"))
+    if tested is not None:
+        met = met.join(tested, ["a", "b"], "left_anti")
+    return met.groupBy("b").agg(F.max(F.struct("votes", "order", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+
+
+def still_open(met: DataFrame, tested: DataFrame) -> DataFrame:
+    """Members of the buckets with pairs to compare: a bucket of two is done once its pair is tested."""
+    many = met.filter("size > 2").select("bucket", "node", "degree")
+    two = met.filter("size = 2 AND node <> a").withColumn("b", F.col("node")).join(tested, ["a", "b"], "left_anti")
+    both = F.array(F.struct(F.col("a").alias("node"), F.col("a_degree").alias("degree")), F.struct("node", "degree"))
+    return stored(many.unionByName(two.select("bucket", F.explode(both).alias("m")).select("bucket", "m.*")), "members")
+
+
+def merged_classes(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """classes (node, label) after joining those that links (a, b) connect."""
+    if classes is None:
+        return stored(components(links), "classes")
+    of_a, of_b = (classes.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(between)
+    every = classes.unionByName(moved.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    return stored(every.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "classes")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id for each row of docs."""
     sketch = stored(sketches(docs), "sketches")
     known = sketch.filter("doc_id IS NOT NULL")
-    texts = stored(known.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands")), "texts")
-    nodes = texts.filter("bands IS NOT NULL").select("node", "bands")
+    distinct = stored(known.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands")), "distinct")
+    members = candidates(distinct.filter("bands IS NOT NULL").select("node", "bands"))
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = stored(texts.join(small(wanted, 16), "doc_id", "left_semi"), "texts")
     classes = tested = None
-    turn = 0
-    while True:
-        with_class = nodes.withColumn("label", F.col("node")) if classes is None else nodes.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        members = with_class.select("node", "label", F.xxhash64("node", F.lit(turn)).alias("order"), F.explode(F.slice("bands", 1, FIRST_BANDS) if turn == 0 else F.col("bands")).alias("bucket"))
-        place = F.struct("order", "node", "label")
-        pivots = members.groupBy("bucket").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h")
-        pivots = pivots.select("bucket", F.explode(F.array("low", "high") if turn else F.array("low")).alias("p")).select("bucket", F.col("p.node").alias("a"), F.col("p.label").alias("a_label"))
-        pairs = members.join(pivots, "bucket").filter("label <> a_label AND node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("votes"))
-        if turn == 0:
-            pairs = pairs.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        else:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs.select("a", "b"), "pairs")
-        links = stored(similar(pairs, docs, least), "links")
-        done = links.isEmpty()
-        if not done:
-            of = (lambda e: e) if classes is None else lambda e: e.join(classes.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(classes.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-            merged = components(of(links))
-            if classes is None:
-                classes = merged
-            else:
-                moved = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-                every = classes.unionByName(merged.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-                classes = every.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            classes = stored(classes, "classes")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        turn += 1
-        if done and turn > 1:
+    for turn in count():
+        met = meet_pivots(members, classes, turn)
+        pairs = stored(one_pair_each(met, tested), "pairs")
+        links = stored(similar(pairs, texts, least), "links")
+        found = not links.isEmpty()
+        if found:
+            classes = merged_classes(classes, links)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tested = both if tested is None else tested.unionByName(both)
+        if not found and (turn + 1 >= LEAST_ROUNDS or pairs.isEmpty()):
             break
-    found = texts.select("key", "node") if classes is None else texts.select("key", "node").join(classes, "node", "left").select("key", F.coalesce("label", "node").alias("node"))
-    return sketch.select("doc_id", "key").join(found, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("class_id"))
+        members = still_open(met, tested)
+    of_key = distinct.select("key", "node")
+    if classes is not None:
+        of_key = of_key.join(classes, "node", "left").select("key", F.coalesce("label", "node").alias("node"))
+    return sketch.select("doc_id", "key").join(of_key, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -108,9 +108,9 @@ class Model:
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS) -> Model:
     """Newton boosting of the logistic loss on histograms of gradients."""
-    rate = y.mean() if len(y) else 0.5
+    rate = float(y.mean()) if len(y) else 0.5
     inner = (1 << depth) - 1
-    if not 0 < rate < 1:
+    if not len(y) or not 0 < rate < 1:
         base = 0.0 if not len(y) else 6.0 if rate else -6.0
         return Model(np.zeros((0, inner), int), np.zeros((0, inner)), np.zeros((0, inner + 1)), base)
     n, width = x.shape
