@@ -364,7 +364,7 @@ def sec_of_week_f21(spark, sf):
 @query("SELECT event_id, coalesce(TRY_CAST(nullif(regexp_replace(props, '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS number, length(props) - length(replace(props, '\"', '')) AS quotes, len(string_split(event_type, 'c')) AS parts, lpad(event_type, 12, '*') AS padded, upper(event_type) AS name, coalesce(TRY_CAST(event_type AS BIGINT), 0) AS bad FROM events")
 def text_functions_f19(spark, sf):
     e = i.table(spark, sf, "events")
-    return e.select("event_id", tx.to_integer(tx.remove_all_but(F.col("props"), "0-9")).alias("number"), tx.occurrences(F.col("props"), '"').alias("quotes"), tx.item_count(F.col("event_type"), "c").alias("parts"), tx.pad(F.col("event_type"), "*", 12).alias("padded"), F.upper("event_type").alias("name"), tx.to_integer(F.col("event_type")).alias("bad"))
+    return e.select("event_id", tx.to_integer(tx.remove_all_but(F.col("props"), "0-9")).alias("number"), tx.occurrences(F.col("props"), '"').cast("long").alias("quotes"), tx.item_count(F.col("event_type"), "c").cast("long").alias("parts"), tx.pad(F.col("event_type"), "*", 12).alias("padded"), F.upper("event_type").alias("name"), tx.to_integer(F.col("event_type")).alias("bad"))
 
 
 @query("SELECT c_custkey, round((CASE WHEN c_nationkey % 2 = 0 THEN -1 ELSE 1 END) * (floor(v / 100) + (v - floor(v / 100) * 100) / 60), 8) AS degrees FROM (SELECT *, abs(c_acctbal) % 9000::DOUBLE AS v FROM customer)")
