@@ -20,9 +20,13 @@ from ..operators.calibration import METHODS
 SCHEMA = "file string, seq long, time double, lat double, lon double, hei double, roll double, pitch double, heading double"
 #: Sizes and fields of records.
 SBET = np.dtype([("time", "<f8"), ("lat", "<f8"), ("lon", "<f8"), ("hei", "<f8"), ("v", "<f8", 3), ("roll", "<f8"), ("pitch", "<f8"), ("heading", "<f8"), ("wander", "<f8"), ("rest", "<f8", 6)])
-SOL_HEADER, SOL_DATA = 35, 149
-BINARY_NAV = np.dtype([("tag", "<i2"), ("time", "<f8"), ("roll", "<i2"), ("pitch", "<i2"), ("heading", "<u2"), ("lat", "<i4"), ("lon", "<i4"), ("hei", "<i4")])
-NAV_TAG, SYNC_TAG, SYNC_BYTES = -28160, -32257, 14
+SOL = np.dtype([
+    ("head", "u1", 14), ("time_type", "u1", 2), ("week", "<u2"), ("times", "<f8", 2), ("checksum", "u1"), ("origin", "u1", 7), ("lat", "<f8"), ("lon", "<f8"), ("hei", "<f8"), ("position_error", "<f4", 3),
+    ("roll", "<f8"), ("pitch", "<f8"), ("heading", "<f8"), ("attitude_error", "<f4", 3), ("velocity", "<f8", 3), ("velocity_error", "<f4", 3), ("rates", "<f8", 3), ("undulation", "<f4"), ("geoid", "u1"), ("rest", "u1", 5),
+])
+BINARY_NAV = np.dtype([("tag", "<i2"), ("time", "<f8"), ("roll", "<i2"), ("pitch", "<i2"), ("heading", "<u2"), ("lat", "<i4"), ("lon", "<i4"), ("hei", "<u2"), ("unused", "<u2")])
+NAV_TAG, SYNC_TAG = -28160, -32257
+SYNC_BYTES = {999: 14, 998: 16}
 
 
 def _per_file(spark: SparkSession, path: str, parse, schema: str = SCHEMA) -> DataFrame:
@@ -76,24 +80,59 @@ def read_syncs(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(good).select("file", "seq", (F.col("f")[0] == "$SPTSMP").alias("per_second"), F.slice("f", 2, 3).alias("fields"))
 
 
-def parse_binary_nav(content: bytes) -> pd.DataFrame:
-    """Records by their tags; after a byte that starts none, the next byte is tried."""
-    at, rows = 0, []
-    while at + 2 <= len(content):
+def parse_sol(content: bytes) -> pd.DataFrame:
+    """Records of 184 bytes; the time is the first of the two whose type is GPS (1)."""
+    if len(content) % SOL.itemsize:
+        raise ValueError("a SOL file must hold whole records of 184 bytes")
+    r = np.frombuffer(content, SOL)
+    gps = r["time_type"] == 1
+    if not gps.any(1).all():
+        raise ValueError("neither time of a SOL record is GPS time")
+    time = np.where(gps[:, 0], r["times"][:, 0], r["times"][:, 1])
+    heading = np.degrees(r["heading"])
+    return pd.DataFrame({"seq": np.arange(len(r)), "time": time, "lat": np.degrees(r["lat"]), "lon": np.degrees(r["lon"]), "hei": r["hei"], "roll": np.degrees(r["roll"]), "pitch": np.degrees(r["pitch"]), "heading": np.where(heading < 0, heading + 360, heading)})
+
+
+def read_sol(spark: SparkSession, path: str) -> DataFrame:
+    return _per_file(spark, path, parse_sol)
+
+
+def _binary_log(content: bytes) -> tuple[list[tuple], list[tuple]]:
+    """Records and syncs by their tags; after a byte that starts none, the next byte is tried, and no sync is trusted before a record."""
+    at, rows, syncs, sound = 0, [], [], True
+    while at + 4 <= len(content):
         tag = int.from_bytes(content[at : at + 2], "little", signed=True)
+        kind = int.from_bytes(content[at + 2 : at + 4], "little")
         if tag == NAV_TAG and at + BINARY_NAV.itemsize <= len(content):
             r = np.frombuffer(content, BINARY_NAV, 1, at)[0]
             rows.append((float(r["time"]), r["lat"] / 3.6e6, r["lon"] / 3.6e6, r["hei"] / 10, r["roll"] / 100, r["pitch"] / 100, r["heading"] / 100))
-            at += BINARY_NAV.itemsize
-        elif tag == SYNC_TAG and at + SYNC_BYTES <= len(content):
-            at += SYNC_BYTES
+            at, sound = at + BINARY_NAV.itemsize, True
+        elif tag == SYNC_TAG and sound and kind in SYNC_BYTES and at + SYNC_BYTES[kind] <= len(content):
+            if kind == 999 and rows:
+                syncs.append((int(rows[-1][0] + 1), int.from_bytes(content[at + 10 : at + 12], "little") / 1000))
+            at += SYNC_BYTES[kind]
         else:
-            at += 1
-    out = pd.DataFrame(rows, columns=["time", "lat", "lon", "hei", "roll", "pitch", "heading"], dtype=float)
+            at, sound = at + 1, False
+    return rows, syncs
+
+
+def parse_binary_nav(content: bytes) -> pd.DataFrame:
+    out = pd.DataFrame(_binary_log(content)[0], columns=["time", "lat", "lon", "hei", "roll", "pitch", "heading"], dtype=float)
     out.insert(0, "seq", np.arange(len(out)))
     return out
 
 
+def parse_binary_syncs(content: bytes) -> pd.DataFrame:
+    """Whole GPS seconds after each sync message, and the delay to them."""
+    out = pd.DataFrame(_binary_log(content)[1], columns=["gps", "delay"])
+    out.insert(0, "seq", np.arange(len(out)))
+    return out.astype({"gps": "int64", "delay": float})
+
+
+def read_binary_syncs(spark: SparkSession, path: str) -> DataFrame:
+    return _per_file(spark, path, parse_binary_syncs, "file string, seq long, gps long, delay double")
+
+
 def read_binary_nav(spark: SparkSession, path: str) -> DataFrame:
     return _per_file(spark, path, parse_binary_nav)
 
@@ -101,7 +140,7 @@ def read_binary_nav(spark: SparkSession, path: str) -> DataFrame:
 def sniff(path: str) -> str:
     """Sbet, sol, nmea or binary, from a local file's size, name and first bytes."""
     size, extension = os.path.getsize(path), os.path.splitext(path)[1]
-    sbet, sol = size % SBET.itemsize == 0, size % (SOL_HEADER + SOL_DATA) == 0
+    sbet, sol = size % SBET.itemsize == 0, size % SOL.itemsize == 0
     if sbet and sol:
         return {".out": "sbet", ".sol": "sol"}.get(extension, "sbet")
     if sbet or sol:

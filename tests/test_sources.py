@@ -81,3 +81,33 @@ def test_frame_stream_keeps_state(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["line"], r["delta"]) for r in spark.table("frames").collect() if r["delta"] is not None) in ([(1, 1), (2, 3)],)
+
+
+def test_sol_takes_gps_time():
+    r = np.zeros(2, sources.SOL)
+    r["time_type"], r["times"], r["lat"], r["heading"] = [[3, 1], [1, 3]], [[1, 2], [3, 4]], np.radians(51), np.radians(-20)
+    got = sources.parse_sol(r.tobytes())
+    assert sources.SOL.itemsize == 184 and got["time"].tolist() == [2.0, 3.0] and got["heading"].tolist() == pytest.approx([340, 340])
+    with pytest.raises(ValueError):
+        sources.parse_sol(np.zeros(1, sources.SOL).tobytes())
+
+
+def test_binary_syncs():
+    r = np.zeros(1, sources.BINARY_NAV)
+    r["tag"], r["time"], r["hei"] = sources.NAV_TAG, 7.25, 1234
+    sync = np.array([sources.SYNC_TAG, 999, 0, 0, 0, 250, 0], "<i2").tobytes()
+    content = r.tobytes() + sync + b"\x00" + sync + r.tobytes()
+    assert sources.parse_binary_nav(content)["hei"].tolist() == [123.4, 123.4]
+    assert sources.parse_binary_syncs(content)[["gps", "delay"]].values.tolist() == [[8.0, 0.25]]
+
+
+def test_igm_round_trip(spark, tmp_path):
+    from scanforge.sources import products
+
+    rows = [(i, j, None if (i, j) == (1, 1) else float(i), float(j), 5.0) for i in range(2) for j in range(3)]
+    igm = spark.createDataFrame(rows, "line int, sample int, x double, y double, z double")
+    products.write_igm(igm, str(tmp_path / "a.igm"), 2, 3)
+    got = sorted(tuple(r) for r in products.read_igm(spark, str(tmp_path / "a.igm")).collect())
+    assert got == sorted(rows, key=lambda r: r[:2])
+    items = products.sensor_items({"binning": ["2", "1"], "himg": ["3", "10"], "vimg": ["1", "4"], "tint": ["12.5"]})
+    assert items["samples"] == [2, 9] and items["integration_time"] == 12.5 and items["spectral_binning"] == 2
