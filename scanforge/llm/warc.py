@@ -3,7 +3,8 @@
 write_warc: Spark's text writer writes one gzip archive per task and record limit, so a lost task
 is repeated by the commit protocol and any file system will do. Payloads of at least `least` bytes
 that are equal (SHA-1 and length) are stored once: the row with the largest page_id is a response,
-the others are revisits that name it. Groups are found on digests alone; payloads are not shuffled.
+the others are revisits that name it. Groups are found on digests alone; payloads are shuffled only if
+there are too many revisits to broadcast.
 
 read_warc: tasks cut archives at the version magic, which may also stand inside a payload, and emit
 for each candidate its offset and its successor's (offset + header + Content-Length + 4). Pointer
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small
+
 MAGIC = "WARC/1.1\r\n"
 LEAST_BYTES = 1000
 RECORDS_PER_FILE = 5000
@@ -38,10 +41,10 @@ def with_types(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(F.encode("payload", "UTF-8"))})
     key = ["payload_digest", "payload_bytes"]
     kept = p.filter(F.col("payload_bytes") >= least).groupBy(key).agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # Only ids and digests are joined; a task needs its own pages' revisits, by page_id.
+    # Only ids and digests are shuffled, unless there are too many revisits to broadcast.
     keyed = p.filter(F.col("payload_bytes") >= least).select("page_id", *key)
     revisits = keyed.join(kept, key).filter(F.col("page_id") < F.col("kept")).select("page_id", *key, "kept").distinct()
-    p = p.join(revisits, ["page_id", *key], "left")
+    p = p.join(small(revisits, 80), ["page_id", *key], "left")
     return p.withColumns({"record_type": F.when(F.col("kept").isNull(), "response").otherwise("revisit"), "refers_to": F.col("kept")}).drop("kept")
 
 
