@@ -88,8 +88,7 @@ class Index:
     vocabulary: np.ndarray  # sorted word hashes
     idf: np.ndarray
     unseen: float  # the weight of other words
-    basis: np.ndarray
-    latent: np.ndarray  # passages x rank, of length 1
+    scores: np.ndarray  # what a word of the vocabulary adds to the product with each passage, in the latent space; last row: nothing
 
 
 def passages(text: str | None) -> list[np.ndarray]:
@@ -116,6 +115,8 @@ def build(spark: SparkSession, items: list[tuple]) -> Index | None:
     basis = randomised_svd(matrix, len(vocabulary)).astype(np.float32)
     latent = np.stack([np.array(v, np.float32) @ basis[at] for at, v in rows])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    # A window's latent vector is the sum of its words' rows of the basis, so its product with a passage is a sum of these.
+    scores = np.vstack(((basis * idf[:, None].astype(np.float32)) @ latent.T, np.zeros((1, n), np.float32)))
     answers = []
     for _, p, answer in own:
         given, _ = word_hashes([answer])
@@ -127,7 +128,7 @@ def build(spark: SparkSession, items: list[tuple]) -> Index | None:
     for i, at in enumerate(ordered):
         inside[i, at] = True
     masks = [places(at.tolist()) for at in ordered]
-    return Index(np.array([i for i, _, _ in own]), [p for _, p, _ in own], inside, masks, answers, vocabulary, idf, float(np.log(n + 1) + 0.1), basis, latent)
+    return Index(np.array([i for i, _, _ in own]), [p for _, p, _ in own], inside, masks, answers, vocabulary, idf, float(np.log(n + 1) + 0.1), scores)
 
 
 def places(words: list[int]) -> dict[int, int]:
@@ -175,16 +176,14 @@ def matches(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, f
     rich = inside[end] - inside[start] >= SHARE * whole
     start, end, owner, whole = start[rich], end[rich], owner[rich], whole[rich]
     best: dict[tuple[int, int], tuple[float, float]] = {}
-    none = len(index.basis)
-    basis = np.vstack((index.basis * index.idf[:, None].astype(np.float32), np.zeros((1, index.basis.shape[1]), np.float32)))
-    scores = basis @ index.latent.T  # what a word adds to the product with each passage
+    none = len(index.vocabulary)
     columns = np.arange(WINDOW)
     for a in range(0, len(start), 256):
         s, e, o = start[a : a + 256], end[a : a + 256], owner[a : a + 256]
         place = s[:, None] + columns
         there = (place < e[:, None]) & known[np.minimum(place, len(known) - 1)]
         rows = np.where(there, at[np.minimum(place, len(at) - 1)], none)
-        cosine = scores[rows].sum(1) / np.sqrt(whole[a : a + 256, None])
+        cosine = index.scores[rows].sum(1) / np.sqrt(whole[a : a + 256, None])
         for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
             passage, item, text = index.words[p], int(index.items[p]), int(o[w])
             n = len(passage)
