@@ -11,7 +11,7 @@ the passage, around the window, has at least LCS_SURE of the passage, or LCS_LEA
 answer check holds: the item's answer (if the benchmark has one), or else at least half of the
 passage's rarest words, stands there too. That keeps paraphrases that change the wording between.
 
-Words are separated by space and 0x09-0x0D, A-Z lower-cased. Passages of fewer than SHORT words must
+Words are separated by space and 0x09-0x0D, their case folded over Unicode. Passages of fewer than SHORT words must
 stand there whole and in order. Null and empty items match nothing, nor do null and empty texts.
 Repeated rows and items are matched each; hits are distinct pairs with their best figures. Extra
 columns are kept by decontaminated() and ignored by hits(); empty tables give no hits.
@@ -91,8 +91,13 @@ class Index:
     scores: np.ndarray  # what a word of the vocabulary adds to the product with each passage, in the latent space; last row: nothing
 
 
+def folded_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of the texts with case folded in every script, not A-Z only."""
+    return word_hashes([t and t.casefold() for t in texts])
+
+
 def passages(text: str | None) -> list[np.ndarray]:
-    words, _ = word_hashes([text])
+    words, _ = folded_hashes([text])
     parts = max(1, -(-len(words) // PASSAGE))
     return [p for p in np.array_split(words, parts) if len(p)]
 
@@ -119,7 +124,7 @@ def build(spark: SparkSession, items: list[tuple]) -> Index | None:
     scores = np.vstack(((basis * idf[:, None].astype(np.float32)) @ latent.T, np.zeros((1, n), np.float32)))
     answers = []
     for _, p, answer in own:
-        given, _ = word_hashes([answer])
+        given, _ = folded_hashes([answer])
         words = np.unique(p)
         rarest = words[np.argsort(-idf[np.searchsorted(vocabulary, words)], kind="stable")][: max(1, len(words) // RARE)]
         answers.append([given] if len(given) else [np.array([w]) for w in rarest])
@@ -157,7 +162,7 @@ def _stands(sequence: np.ndarray, near: np.ndarray) -> bool:
 
 def matches(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, float, float]]:
     """(text number, item, cosine, lcs share) for each passage found, the best for each pair."""
-    hashes, bounds = word_hashes(texts)
+    hashes, bounds = folded_hashes(texts)
     if not len(hashes):
         return
     at = np.minimum(np.searchsorted(index.vocabulary, hashes), len(index.vocabulary) - 1)
