@@ -14,7 +14,10 @@ so pivots change), if that is of another class; of its pivots each text is compa
 that it meets most often. So a round compares each text once, at most, and large groups of copies
 settle on their original in the first. Verified links join classes (least id, with pointer jumping,
 in stored tables); buckets inside one class drop out, and no pair is compared twice. Rounds go on
-until one (after the third) finds no link. A hot bucket is a skewed join that Spark splits, and
+until one (after the third) finds no link. Texts whose buckets then still hold several classes are
+finished exactly (missed_links): all pairs of them, of different classes, that can have the J_P asked
+for share one of their rarest shingles, and each of these is verified, in blocks of texts. So a pair
+is left untested only if no bucket proposes it or one of its texts. A hot bucket is a skewed join that Spark splits, and
 partly aggregated counts; the texts in question are stored once and joined by id.
 
 A row per document: class_id is the least doc_id of its class. Words are separated by space and
@@ -39,6 +42,7 @@ from .common import mixed, seeded, slices, small, stored, word_hashes
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 LEAST_ROUNDS = 3
+SLOTS, BLOCK_TEXTS = 1 << 18, 256
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -212,6 +216,83 @@ def merged_classes(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(every.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "classes")
 
 
+def rarest(nodes: DataFrame, least: float) -> DataFrame:
+    """node, label, key, before: the rarest shingles of nodes (node, label, text), and the share of weight of still rarer ones.
+
+    Shingles are in one order for all texts, by counts of their hashes modulo SLOTS. With shares p and q
+    of the two texts' weights, J_P is at most the sum of min(p, q), and so at most 1 less what comes
+    before the first common shingle; shingles with more than 1 - least before them need not be kept.
+    """
+
+    def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts):
+                n += np.bincount((shingles(texts[a:b])[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    counted = nodes.select("text").mapInArrow(count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    common = np.ones(SLOTS, np.int64)
+    common[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    held = nodes.sparkSession.sparkContext.broadcast(common)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts):
+                keys, owners, counts, _ = shingles(texts[a:b])
+                order = np.lexsort((keys, held.value[(keys % np.uint64(SLOTS)).astype(np.int64)], owners))
+                keys, owners, weight = keys[order], owners[order], weights(counts)[order]
+                share = weight / np.bincount(owners, weight, b - a)[owners]
+                before = np.cumsum(share) - share
+                before = np.maximum(before - before[np.searchsorted(owners, owners)], 0)
+                kept = before <= 1 - least + 1e-9
+                at = pa.array(owners[kept] + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys[kept].view(np.int64)), pa.array(before[kept])], ["node", "label", "key", "before"])
+
+    return nodes.select("node", "label", "text").mapInArrow(first, "node long, label long, key long, before double")
+
+
+def missed_links(met: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
+    """All pairs (a, b) of different classes with a J_P of at least `least`, among the nodes of met; None without candidates.
+
+    With x and y before the first common shingle, J_P is at most (1 - x)(1 - y) / (1 - xy); later common
+    ones give less. Among the nodes with a shingle, those of its largest class are not paired with each
+    other, so the work follows the number of pairs. Texts go to pairs of blocks that have candidates.
+    """
+    nodes = stored(met.select("node", "label").distinct().join(texts.withColumnRenamed("doc_id", "node"), "node"), "open")
+    blocks = -(-nodes.count() // BLOCK_TEXTS)
+    if not blocks:
+        return None
+    rare = stored(rarest(nodes, least), "rare")
+    lists = rare.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels"))
+    shared = stored(rare.join(lists.filter("labels > 1").select("key", F.col("m.label").alias("most")), "key"), "shared")
+    x = shared.filter("label <> most").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("before").alias("x"))
+    y = shared.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("before").alias("y"), "most")
+    met_once = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("most")) | (F.col("a") < F.col("b")))
+    near = (1 - F.col("x")) * (1 - F.col("y")) >= least * (1 - F.col("x") * F.col("y")) - 1e-9
+    found = x.join(y, "key").filter(met_once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    pairs = stored(found.select(block("a").alias("i"), block("b").alias("j"), "a", "b"), "pairs")
+    needed = pairs.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = needed.join(nodes.select("node", "text"), "node").withColumnsRenamed({"i": "p", "j": "q"})
+
+    def verify(pairs, texts):
+        sets: dict[int, list] = {}
+        own = texts["text"].tolist()
+        for a, b in slices(own):
+            keys, owners, counts, _ = shingles(own[a:b])
+            at, weight = np.searchsorted(owners, np.arange(b - a + 1)), weights(counts)
+            for k, node in enumerate(texts["node"].iloc[a:b].tolist()):
+                sets.setdefault(node, []).append((keys[at[k] : at[k + 1]], weight[at[k] : at[k + 1]]))
+        linked = [any(probability_jaccard(*x, *y) >= least for x in sets[a] for y in sets[b]) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)]
+        return pairs.loc[linked, ["a", "b"]]
+
+    return stored(pairs.groupBy("i", "j").cogroup(needed.groupBy("p", "q")).applyInPandas(verify, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id for each row of docs."""
     sketch = stored(sketches(docs), "sketches")
@@ -234,6 +315,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if not found and (turn + 1 >= LEAST_ROUNDS or pairs.isEmpty()):
             break
         members = still_open(met, tested)
+    links = missed_links(met, texts, least)
+    if links is not None and not links.isEmpty():
+        classes = merged_classes(classes, links)
     of_key = distinct.select("key", "node")
     if classes is not None:
         of_key = of_key.join(classes, "node", "left").select("key", F.coalesce("label", "node").alias("node"))

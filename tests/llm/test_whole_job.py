@@ -2,13 +2,27 @@
 
 import random
 
-from scanforge.llm import decontam
+from scanforge.llm import decontam, neardup
 
 
 def words(rng, n, vocabulary=4000):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
 
+# --- 2 -------------------------------------------------------------------------------------------
+def test_near_copies_inside_a_family_of_likenesses(spark):
+    rng = random.Random(21)
+    shared, rows, twin = words(rng, 86), [], {}
+    for i in range(0, 400, 2):  # J_P about 0.69 between the pairs, 0.87 inside
+        own = words(rng, 18, 10**6).split()
+        rows += [(i, f"{shared} {' '.join(own)}"), (i + 1, f"{shared} {' '.join([*own[:11], *words(rng, 7, 10**6).split()])}")]
+        twin |= {i: i, i + 1: i}
+    k, w = zip(*((x[0], neardup.weights(x[2])) for x in (neardup.shingles([t]) for _, t in rows[:4])), strict=True)
+    assert neardup.probability_jaccard(k[0], w[0], k[1], w[1]) > 0.8 > neardup.probability_jaccard(k[0], w[0], k[2], w[2])
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == twin
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 def test_capitals_with_accents_are_found(spark):
     rng = random.Random(20)
