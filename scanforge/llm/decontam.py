@@ -6,13 +6,16 @@ test matrix, power iterations with orthonormal bases, sums over the rows' tasks)
 space. Documents are read in windows of WINDOW words every STEP, all of them, and stay where they
 are: there is no shuffle of documents. A window's share of TF-IDF energy on the block's words bounds
 its cosine, so only windows with enough of it are projected; those whose latent cosine with a passage
-reaches COSINE are candidates. A candidate counts if the longest common subsequence of words with
+reaches COSINE are candidates. A short passage or a paraphrase amid other words has a small cosine, so
+windows are candidates, too, if they can hold LCS_LEAST of the passage by the words in common: with
+its commonest words left out, as many as that leaves to be asked for, enough of the others stand
+within a window's reach. A candidate counts if the longest common subsequence of words with
 the passage, around the window, has at least LCS_SURE of the passage, or LCS_LEAST of it and the
 answer check holds: the item's answer (if the benchmark has one), or else at least half of the
 passage's rarest words, stands there too. That keeps paraphrases that change the wording between.
 
 Words are separated by space and 0x09-0x0D, their case folded over Unicode. Passages of fewer than SHORT words must
-stand there whole and in order. Null and empty items match nothing, nor do null and empty texts.
+stand there whole and in order; as runs of words they are searched everywhere. Null and empty items match nothing, nor do null and empty texts.
 Repeated rows and items are matched each; hits are distinct pairs with their best figures. Extra
 columns are kept by decontaminated() and ignored by hits(); empty tables give no hits.
 """
@@ -36,6 +39,7 @@ RANK, OVERSAMPLE, POWER = 256, 16, 2
 SHARE, COSINE = 0.12, 0.33
 LCS_SURE, LCS_LEAST, RARE = 0.8, 0.6, 4
 _CHUNK = 4096
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def randomised_svd(rows: DataFrame, width: int, rank: int = RANK, power: int = POWER, seed: int = 0) -> np.ndarray:
@@ -88,6 +92,9 @@ class Index:
     vocabulary: np.ndarray  # sorted word hashes
     idf: np.ndarray
     unseen: float  # the weight of other words
+    lists: tuple[np.ndarray, np.ndarray]  # for each word of the vocabulary, the passages that ask for it (starts, passages)
+    asked: np.ndarray  # of each passage: how many such words must stand near each other
+    runs: dict[int, tuple[np.ndarray, np.ndarray]]  # by length, the hashes of short passages, sorted, and the passages
     scores: np.ndarray  # what a word of the vocabulary adds to the product with each passage, in the latent space; last row: nothing
 
 
@@ -133,7 +140,61 @@ def build(spark: SparkSession, items: list[tuple]) -> Index | None:
     for i, at in enumerate(ordered):
         inside[i, at] = True
     masks = [places(at.tolist()) for at in ordered]
-    return Index(np.array([i for i, _, _ in own]), [p for _, p, _ in own], inside, masks, answers, vocabulary, idf, float(np.log(n + 1) + 0.1), scores)
+    rare, asked, short = [], np.ones(n, np.int64), {}
+    for i, at in enumerate(ordered):
+        if len(at) < SHORT:
+            short.setdefault(len(at), []).append(i)
+            continue
+        words, tf = np.unique(at, return_counts=True)
+        order = np.argsort(idf[words], kind="stable")
+        most = int(np.ceil(LCS_LEAST * len(at) - 1e-9))
+        out = int(np.searchsorted(np.cumsum(tf[order]), most - max(2, most // 3), "right"))
+        asked[i] = most - tf[order[:out]].sum()
+        rare += [(w, i) for w in words[order[out:]].tolist()]
+    pairs = np.array(sorted(rare), np.int64).reshape(-1, 2)
+    lists = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1)), pairs[:, 1]
+    runs = {}
+    for size, ids in short.items():
+        h = np.array([rolled(own[i][1], size)[0] for i in ids], np.uint64)
+        runs[size] = np.sort(h), np.array(ids)[np.argsort(h, kind="stable")]
+    return Index(np.array([i for i, _, _ in own]), [p for _, p, _ in own], inside, masks, answers, vocabulary, idf, float(np.log(n + 1) + 0.1), lists, asked, runs, scores)
+
+
+def rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words."""
+    out = words[: max(0, len(words) - size + 1)].copy()
+    for k in range(1, size):
+        out = out * _PRIME + words[k : k + len(out)]
+    return out
+
+
+def proposed(index: Index, at: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, passage, window's start) for all windows that may have LCS_LEAST of a passage around them."""
+    starts, lists = index.lists
+    place = np.flatnonzero(known)
+    size = (starts[1:] - starts[:-1])[at[place]]
+    place, size = place[size > 0], size[size > 0]
+    if not len(place):
+        return
+    first = starts[at[place]]
+    passage = lists[np.arange(size.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)]
+    place = np.repeat(place, size)
+    key = (np.searchsorted(bounds, place, "right") - 1) * len(index.words) + passage
+    order = np.argsort(key, kind="stable")
+    key, place, passage = key[order], place[order], passage[order]
+    lengths = np.array([len(p) for p in index.words])
+    last = np.minimum(np.arange(len(key)) + index.asked[passage] - 1, len(key) - 1)
+    there = (key[last] == key) & (np.arange(len(key)) + index.asked[passage] <= len(key)) & (place[last] - place < WINDOW + 2 * lengths[passage])
+    done: set[tuple[int, int]] = set()
+    for k, low, high in zip(key[there].tolist(), place[last[there]].tolist(), place[there].tolist(), strict=True):
+        text, p = divmod(k, len(index.words))
+        a, b, n = int(bounds[text]), int(bounds[text + 1]), int(lengths[p])
+        end = max(a, b - WINDOW)
+        # Windows whose reach, n words on both sides, has all of the places from high to low.
+        for s in [*range(a + max(0, -(-(low - WINDOW - n + 1 - a) // STEP)) * STEP, min(high + n, end) + 1, STEP), *([end] if low - WINDOW - n < end <= high + n else [])]:
+            if (k, s) not in done:
+                done.add((k, s))
+                yield text, p, s
 
 
 def places(words: list[int]) -> dict[int, int]:
@@ -181,8 +242,27 @@ def matches(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, f
     rich = inside[end] - inside[start] >= SHARE * whole
     start, end, owner, whole = start[rich], end[rich], owner[rich], whole[rich]
     best: dict[tuple[int, int], tuple[float, float]] = {}
+    seen: set[tuple[int, int]] = set()
     none = len(index.vocabulary)
     columns = np.arange(WINDOW)
+
+    def judge(text: int, p: int, s: int, e: int, cosine: float | None = None) -> None:
+        n = len(index.words[p])
+        around = slice(max(bounds[text], s - n), min(bounds[text + 1], e + n))
+        least = 1.0 if n < SHORT else LCS_LEAST
+        near = at[around][known[around]]
+        near = near[index.inside[p, near]]
+        share = common_subsequence(n, index.masks[p], near.tolist()) / n if len(near) >= least * n else 0.0
+        if share >= least:
+            if share < LCS_SURE:
+                found = sum(_stands(x, hashes[around]) for x in index.answers[p])
+                if not found or 2 * found < len(index.answers[p]):
+                    return
+            if cosine is None:
+                cosine = float(index.scores[at[s:e][known[s:e]], p].sum() / np.sqrt(energy[e] - energy[s]))
+            key = (text, int(index.items[p]))
+            best[key] = max(best.get(key, (0.0, -1.0)), (share, cosine))
+
     for a in range(0, len(start), 256):
         s, e, o = start[a : a + 256], end[a : a + 256], owner[a : a + 256]
         place = s[:, None] + columns
@@ -190,20 +270,19 @@ def matches(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, f
         rows = np.where(there, at[np.minimum(place, len(at) - 1)], none)
         cosine = index.scores[rows].sum(1) / np.sqrt(whole[a : a + 256, None])
         for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            passage, item, text = index.words[p], int(index.items[p]), int(o[w])
-            n = len(passage)
-            around = slice(max(bounds[text], s[w] - n), min(bounds[text + 1], e[w] + n))
-            least = 1.0 if n < SHORT else LCS_LEAST
-            near = at[around][known[around]]
-            near = near[index.inside[p, near]]
-            share = common_subsequence(n, index.masks[p], near.tolist()) / n if len(near) >= least * n else 0.0
-            if share >= least:
-                if share < LCS_SURE:
-                    found = sum(_stands(x, hashes[around]) for x in index.answers[p])
-                    if not found or 2 * found < len(index.answers[p]):
-                        continue
-                key = (text, item)
-                best[key] = max(best.get(key, (0.0, 0.0)), (share, float(cosine[w, p])))
+            seen.add((int(s[w]), int(p)))
+            judge(int(o[w]), int(p), int(s[w]), int(e[w]), float(cosine[w, p]))
+    for text, p, s in proposed(index, at, known, bounds):
+        if (s, p) not in seen:
+            judge(text, p, s, min(s + WINDOW, int(bounds[text + 1])))
+    for size, (runs, ids) in index.runs.items():
+        h = rolled(hashes, size)
+        low, high = np.searchsorted(runs, h), np.searchsorted(runs, h, "right")
+        for s in np.flatnonzero(high > low).tolist():
+            text = int(np.searchsorted(bounds, s, "right")) - 1
+            if s + size <= bounds[text + 1]:
+                for p in ids[low[s] : high[s]].tolist():
+                    judge(text, p, s, min(s + WINDOW, int(bounds[text + 1])))
     for (text, item), (share, cosine) in best.items():
         yield text, item, cosine, share
 

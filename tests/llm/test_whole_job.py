@@ -32,3 +32,24 @@ def test_capitals_with_accents_are_found(spark):
     got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontam.hits(df, bench).collect()}
     assert got == {(0, 7): 1.0, (3, 7): 1.0}
     assert {r["doc_id"] for r in decontam.decontaminated(df, bench).collect()} == {1, 2}
+
+
+def test_short_items_and_paraphrases_are_found(spark):
+    rng = random.Random(22)
+    items = [(n, " ".join(f"item{n}x{k}" for k in range(n))) for n in range(1, 16)]
+    items += [(100 + i, words(rng, 30)) for i in range(40)]
+    rows, planted = [], set()
+    for item, text in items:
+        p = text.split()
+        if item >= 100:  # 35 % of the words are others
+            for k in rng.sample(range(len(p)), int(0.35 * len(p))):
+                p[k] = f"other{k}"
+        w = words(rng, 200, 10**6).split()
+        at = rng.randrange(len(w))
+        w[at:at] = p
+        rows.append((item, " ".join(w)))
+        planted.add((item, item))
+    rows += [(1000 + i, words(rng, 200)) for i in range(40)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # Below LCS_SURE half of the rarest words must be there, which replaced ones may miss.
+    assert {x for x in planted if x[0] < 100} <= got and got <= planted and len(got) >= 15 + 34
