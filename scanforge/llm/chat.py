@@ -71,13 +71,14 @@ def format_chat(turns: DataFrame, parts: Column | None = None, loss_role: str =
     """
     message = flatten_parts(text_parts(F.col("text")) if parts is None else parts)
     t = turns.select(F.col("conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), message.alias("m"))
+    t = t.withColumn("said", unescape(F.col("m.text")))
     head = F.concat(F.lit(OPEN + ROLE_OPEN), escape(F.col("role")), F.lit(ROLE_CLOSE))
     t = t.select(
-        "conv_id", "turn", "role", F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / CHUNK).cast("long").alias("chunk"), F.col("m.text").alias("body"),
+        "conv_id", "turn", "role", F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / CHUNK).cast("long").alias("chunk"), "said",
         F.concat(head, F.col("m.text"), F.lit(CLOSE)).alias("line"), F.col("m.attachments").alias("attached"),
         F.struct(F.char_length(head).cast("long").alias("offset"), F.char_length("m.text").cast("long").alias("length"), (F.col("role") == loss_role).alias("loss")).alias("span"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "body", "line", "span", "attached")))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "said", "line", "span", "attached")))
     chunks = t.groupBy("conv_id", "chunk").agg(ordered.alias("rows")).select(
         "conv_id", "chunk", F.array_join(F.transform("rows", lambda r: r["line"]), "").alias("part"), F.size("rows").cast("long").alias("n"),
         F.transform("rows", lambda r: r["span"]).alias("spans"), F.flatten(F.transform("rows", lambda r: r["attached"])).alias("attached"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,37 @@ def local_path(uri: str) -> str | None:
     return u.path if u.scheme in ("", "file") else None
 
 
+def put(folder: str, name: str, array: np.ndarray) -> None:
+    """A flat file in the shared folder, whole or not at all."""
+    if path := local_path(folder):
+        os.makedirs(path, exist_ok=True)
+        array.tofile(own := f"{path}/.{name}-{uuid.uuid4().hex}")
+        os.replace(own, f"{path}/{name}")
+    else:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        with system.open_output_stream(f"{path}/{name}") as f:
+            f.write(array.tobytes())
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def get(folder: str, name: str, kind: str) -> np.ndarray:
+    """A flat file of the shared folder, memory-mapped; from a store that cannot be mounted a worker's copy of it."""
+    path = local_path(folder)
+    if path is None:
+        from pyarrow import fs
+
+        path = _LOCAL.setdefault(folder, tempfile.mkdtemp())
+        if not os.path.exists(f"{path}/{name}"):
+            fs.copy_files(f"{folder}/{name}", f"{path}/{name}")
+    path = f"{path}/{name}"
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
@@ -134,7 +168,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate(([0], np.searchsorted(first, ends)))
 
 
-def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `most` characters together, so that arrays over them stay small."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -144,3 +178,13 @@ def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of whole texts of about `most` bytes together, with the texts; the others stay in Arrow."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, stop, column.slice(start, stop - start).to_pylist()
+        start = stop

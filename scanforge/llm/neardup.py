@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, mixed, seeded, slices, small, stored, word_hashes
+from .common import Tables, mixed, pieces, seeded, slices, small, stored, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -130,9 +130,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 1 << 21):
-                h, there, digests = bands(texts[a:b])
+            for a, b, texts in pieces(batch.column(1)):
+                h, there, digests = bands(texts)
                 lists = pa.array([r if t else None for r, t in zip(h.view(np.int64), there, strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), lists], ["doc_id", "key", "bands"])
 
@@ -149,10 +148,9 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 1 << 21):
+            for a, b, texts in pieces(batch.column(1)):
                 part = batch.slice(a, b - a)
-                same = pa.array([x == y for x, y in zip(digests_of(texts[a:b]), part.column(0).to_pylist(), strict=True)], pa.bool_())
+                same = pa.array([x == y for x, y in zip(digests_of(texts), part.column(0).to_pylist(), strict=True)], pa.bool_())
                 yield part.filter(same)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -180,12 +178,14 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         known: dict[bytes, tuple] = {}  # of pivots, which many pairs share
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if a not in known:
-                    if len(known) >= PIVOTS_HELD:
-                        known.clear()
-                    known[a] = weighted(x)
-                keep.append(probability_jaccard(*known[a], *weighted(y)) >= least)
+            for start, stop, others in pieces(batch.column("text_b")):
+                names = batch.column("a").slice(start, stop - start).to_pylist()
+                for k, (a, y) in enumerate(zip(names, others, strict=True), start):
+                    if a not in known:
+                        if len(known) >= PIVOTS_HELD:
+                            known.clear()
+                        known[a] = weighted(batch.column("text_a")[k].as_py())
+                    keep.append(probability_jaccard(*known[a], *weighted(y)) >= least)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "a_degree", "b"])
 
     return both.select("a", "a_degree", "b", "text_a", "text_b").mapInArrow(verify, "a binary, a_degree long, b binary")
@@ -248,9 +248,8 @@ def rarest(nodes: DataFrame, least: float) -> DataFrame:
     def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                n += np.bincount((shingles(texts[a:b])[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for _, _, texts in pieces(batch.column(0)):
+                n += np.bincount((shingles(texts)[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
 
@@ -261,9 +260,8 @@ def rarest(nodes: DataFrame, least: float) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for a, b in slices(texts):
-                keys, owners, counts, _ = shingles(texts[a:b])
+            for a, b, texts in pieces(batch.column(3)):
+                keys, owners, counts, _ = shingles(texts)
                 order = np.lexsort((keys, held.value[(keys % np.uint64(SLOTS)).astype(np.int64)], owners))
                 keys, owners, weight = keys[order], owners[order], weights(counts)[order]
                 share = weight / np.bincount(owners, weight, b - a)[owners]

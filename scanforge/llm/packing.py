@@ -15,6 +15,7 @@ if a lost task is repeated over the same input.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -59,8 +60,8 @@ class Encoder:
 
     Tokens never reach over a space with no white space after it, so a text's words, each with the
     space before it, have the ids that they have in the text; each distinct word is encoded once. The
-    same vocabulary in ranked form gives the ids of `tokenizers` (a test compares them); a tokenizer
-    of another kind is used as it is, text by text.
+    same vocabulary in ranked form gives the ids of `tokenizers` (a test compares them). Texts that hold
+    an added token's string, and tokenizers of another kind, go to `tokenizers` itself, text by text.
     """
 
     def __init__(self, path: str):
@@ -71,17 +72,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.encode, self.known = None, {}  # from a word to the packed ids of the word with a space before it
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         split = spec.get("pre_tokenizer") or {}
         if spec.get("normalizer") is None and all(split.get(k) == v for k, v in _BYTE_LEVEL.items()) and (ranks := _byte_ranks(spec["model"])):
             self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.encode is None:
+        if self.encode is None or self.added and self.added.search(text):
             return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
         if "  " in text:
             return np.array([*self.encode(text), END_ID], "<u4")

@@ -2,7 +2,7 @@
 
 Statistics are array arithmetic over whole texts, batch by batch; nothing but the text enters them.
 Trees are grown on the driver from quantile-binned statistics of a bounded sample of labelled rows
-(SAMPLE, those with the smallest hashed ids; their ids are what is broadcast), flattened into arrays
+(SAMPLE rows, those with the smallest hashed ids; at most as many ids are what is broadcast), flattened into arrays
 of complete trees, and walked level by level for all rows of a batch at once. Scoring has no shuffle.
 
 Null texts are empty. Empty texts get the score of their (zero) statistics. Several labels for one
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, word_hashes
+from .common import pieces, word_hashes
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, SMOOTH = 80, 4, 64, 0.15, 1.0
@@ -39,9 +39,9 @@ def _per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def statistics(texts: list[str | None]) -> np.ndarray:
+def statistics(texts: pa.Array) -> np.ndarray:
     """A row of document statistics for each text."""
-    return np.concatenate([_statistics(texts[a:b]) for a, b in slices(texts)]) if texts else np.zeros((0, _width()))
+    return np.concatenate([_statistics(part) for _, _, part in pieces(texts)]) if len(texts) else np.zeros((0, _width()))
 
 
 def _width() -> int:
@@ -148,16 +148,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable
     """Fits on at most `sample` labelled documents for which `usable` (a condition on doc_id) holds."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     known = known if usable is None else known.filter(usable)
-    chosen = known.groupBy("doc_id").agg(F.min(label_col).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            x = statistics(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["doc_id", "x", "y"])
 
-    # Sorted, so that the model does not depend on the order in which rows arrive.
-    got = rows.mapInArrow(measured, "x array<double>, y double").toArrow()
+    # An id may be repeated without bound, so rows are counted again. Sorted, the model does not depend on how rows arrive.
+    found = rows.select("doc_id", "text", "y").mapInArrow(measured, "doc_id long, x array<double>, y double")
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).select("x", "y").toArrow()
     if not len(got):
         return fit(np.zeros((0, _width())), np.zeros(0))
     x, y = np.array(got.column("x").to_pylist()), got.column("y").to_numpy()
@@ -171,7 +172,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(statistics(batch.column(1).to_pylist())), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(statistics(batch.column(1))), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, "doc_id long, score double")
 
@@ -182,7 +183,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = held.value.scores(statistics(batch.column("text").to_pylist())) >= least
+            good = held.value.scores(statistics(batch.column("text"))) >= least
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(kept, docs.schema)

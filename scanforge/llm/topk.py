@@ -9,8 +9,8 @@ exact, so ties (thousands of equal vectors) do not gather anywhere.
 
 Scores are matrix products over Arrow batches. A block's queries (about QUERY_BLOCK rows, a bound
 that does not grow) are what is broadcast. A pass shuffles non-empty counts only. Vectors that are
-null, empty or hold null or non-finite components take no part; shorter vectors count as padded by
-zeros. Repeated rows are candidates each; the hits of a repeated query are ranked together. A query's
+null or hold null or non-finite components take no part; shorter vectors, empty ones too, count as
+padded by zeros. Products are sums of float64, exact up to 2**53. Repeated rows are candidates each; the hits of a repeated query are ranked together. A query's
 own id is never a candidate; null ids take no part. Fewer candidates than k: all of them. Empty
 tables give no rows.
 """
@@ -37,8 +37,10 @@ HITS = "query_id long, vec_id long, score long"
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = F.col(vector_col)
-    whole = v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.col(id_col).isNotNull()
-    return vectors.filter(whole).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("vector"))
+    whole = v.isNotNull() & F.forall(v, finite) & F.col(id_col).isNotNull()
+    # floor() gives longs; doubles of 2**53 or more are whole as they are.
+    down = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    return vectors.filter(whole).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: down(x.cast("double") * scale)).alias("vector"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:

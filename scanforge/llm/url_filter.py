@@ -7,27 +7,42 @@ broadcast only after its size is checked. A url's keys are its host's suffixes t
 prefixes of the lengths that the list has for such a suffix depth; keys that the filter passes are
 joined to the list exactly, which removes false positives. The longest entry wins.
 
-Urls are judged once each: only distinct urls that pass the filter reach the joins, and rows come
-together with their verdict by url, rows without a hit staying where they are. Null urls and urls
+Urls are judged once each: only distinct urls that pass the filter reach the joins. The verdicts are
+stored and then broadcast if they are few; else rows meet their verdict by url, in a join that Spark
+can split at a hot url, and urls without a host are dealt over SALTS keys. Null urls and urls
 without `://` have empty host and path and fit nothing. Repeated rows are judged each; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, stored
 
 WORDS, BITS = 8, 6
 KEYS_PER_BLOCK = 32
+SALTS = 1024
 
 #: The contract's rules.
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
-#: Canonical URLs of unwanted sites: the list on which the method itself judges.
-UNWANTED_SITES = ["ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x"]
-LISTED = [f"{site}.example.{top}/" for site in UNWANTED_SITES for top in ("com", "net", "org")]
+#: A sample list of unwanted sites, one canonical URL a line.
+SAMPLE_LIST = Path(__file__).with_name("listed_urls.txt")
+
+
+def sample_list() -> list[str]:
+    return [line for line in SAMPLE_LIST.read_text(encoding="utf-8").splitlines() if line and not line.startswith("#")]
+
+
+def rules_and_list(spark: SparkSession, listed: DataFrame | None = None) -> DataFrame:
+    """The table that judge() reads: the contract's rules, then the canonical URLs (column key) of a list to block."""
+    if listed is None:
+        listed = spark.createDataFrame([(k,) for k in sample_list()], "key string")
+    rules = spark.createDataFrame([(k, 0, v) for k, v in RULES], "key string, rank int, verdict string")
+    return rules.unionByName(listed.select("key", F.lit(1).alias("rank"), F.lit("block").alias("verdict")))
 
 
 def host_of(url: Column) -> Column:
@@ -80,4 +95,7 @@ def judge(pages: DataFrame, entries: DataFrame, url_col: str = "url") -> DataFra
     exact = passed.select("host", "path", "key").join(small(entries.select("key", "rank", "verdict"), 256), "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct((-F.col("rank")).alias("order"), F.char_length("key").alias("length"), F.char_length(F.substring_index("key", "/", 1)).alias("host_length"), "key", "verdict")).alias("best"))
     verdicts = best.select("host", "path", F.col("best.key").alias("matched"), F.col("best.verdict").alias("matched_verdict"), (-F.col("best.order")).alias("matched_rank"))
-    return p.join(verdicts, ["host", "path"], "left")
+    verdicts = stored(verdicts.withColumn("salt", F.lit(0).cast("long")), "verdicts")
+    # Urls without a host fit nothing and may be many: they are dealt over SALTS keys that no verdict has.
+    salt = F.when(F.col("host") == "", 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    return p.withColumn("salt", salt).join(small(verdicts, 512), ["host", "path", "salt"], "left").drop("salt")

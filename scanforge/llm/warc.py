@@ -7,10 +7,12 @@ the others are revisits that name it. Groups are found on digests alone; payload
 there are too many revisits to broadcast.
 
 read_warc: tasks cut archives at the version magic, which may also stand inside a payload, and emit
-for each candidate its offset and its successor's (offset + header + Content-Length + 4). Pointer
-jumping over an archive's candidates then keeps those reachable from the file's start. One task
-reads one archive (gzip cannot be split; archives are bounded by `per_file` records), in rows; what
-it holds are the payloads of candidates that are still open. Only offsets and digests are shuffled.
+for each candidate its offset and its successor's (offset + header + Content-Length + 4); only header
+texts leave the JVM for that. Pointer jumping over an archive's candidates keeps those reachable from
+the file's start, and their offsets are written beside the archive's name in the shared folder. A
+second pass hashes the payloads of these records alone, piece by piece, one at a time: magic inside a
+payload, however often, costs no memory. One task reads one archive (gzip cannot be split; archives
+are bounded by `per_file` records). Only offsets and digests are shuffled.
 
 Null html is an empty payload. Rows repeated with the largest page_id are all responses; other rows
 refer to that id. Null page_ids come back null and are only chosen as response if no other is there.
@@ -24,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import get, new_path, put, small, stored
 
 MAGIC = "WARC/1.1\r\n"
 LEAST_BYTES = 1000
 RECORDS_PER_FILE = 5000
-RECORD = "file string, at long, next long, page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+RECORD = "file string, at long, page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
 
 def with_types(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -40,10 +44,10 @@ def with_types(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(F.encode("payload", "UTF-8"))})
     key = ["payload_digest", "payload_bytes"]
-    kept = p.filter(F.col("payload_bytes") >= least).groupBy(key).agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # Only ids and digests are shuffled, unless there are too many revisits to broadcast.
-    keyed = p.filter(F.col("payload_bytes") >= least).select("page_id", *key)
-    revisits = keyed.join(kept, key).filter(F.col("page_id") < F.col("kept")).select("page_id", *key, "kept").distinct()
+    keyed = stored(p.filter(F.col("payload_bytes") >= least).select("page_id", *key), "digests")
+    kept = keyed.groupBy(key).agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    revisits = stored(keyed.join(kept, key).filter(F.col("page_id") < F.col("kept")).select("page_id", *key, "kept").distinct(), "revisits")
     p = p.join(small(revisits, 80), ["page_id", *key], "left")
     return p.withColumns({"record_type": F.when(F.col("kept").isNull(), "response").otherwise("revisit"), "refers_to": F.col("kept")}).drop("kept")
 
@@ -63,18 +67,16 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_BYTES, per_file:
     p.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def _header(row: bytes) -> tuple[dict[str, str], int] | None:
-    """Fields of the header at a candidate, and where its block begins behind the magic."""
-    end = row.find(b"\r\n\r\n")
-    if end < 0:
-        return None
+def _fields(head: str | None) -> dict[str, str] | None:
+    """A header's fields, if it is one: lines with colons, and a Content-Length."""
     fields = {}
-    for text in row[:end].decode("utf-8", "replace").split("\r\n"):
+    for text in (head or "").split("\r\n"):
         name, colon, value = text.partition(":")
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
-    return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
+    length = fields.get("content-length", "")
+    return fields if length.isascii() and length.isdigit() else None
 
 
 def _page(urn: str | None) -> int | None:
@@ -82,45 +84,44 @@ def _page(urn: str | None) -> int | None:
     return int(text) if text.removeprefix("-").isdigit() else None
 
 
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """A row (file, value, head) for what follows each magic, and for what stands before an archive's first."""
+    rows = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return rows.withColumn("head", F.when(F.instr("value", "\r\n\r\n") > 0, F.substring_index("value", "\r\n\r\n", 1)))
+
+
+class _Place:
+    """Where a row stands: Spark's reader drops the separator, and all rows but an archive's first follow one."""
+
+    def __init__(self):
+        self.file, self.end = None, 0
+
+    def step(self, file: str, size: int) -> int | None:
+        """The offset of the magic before the row, None for an archive's first."""
+        if file != self.file:
+            self.file, self.end = file, size
+            return None
+        at = self.end
+        self.end += len(MAGIC) + size
+        return at
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each magic in the archives: its offset, its successor's and what the record says."""
-    rows = spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        magic, file, at, waiting = MAGIC.encode(), None, 0, []
-
-        def done(o):
-            digest, f = hashlib.sha1(b"".join(o["parts"])), o["fields"]
-            kind = f.get("warc-type", "")
-            revisit = kind == "revisit"
-            return (
-                o["file"], o["at"], o["next"], _page(f.get("warc-record-id")), f.get("warc-target-uri"), kind, int(f.get("x-payload-length", "0")) if revisit else o["length"],
-                f.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest.hexdigest(), _page(f.get("warc-refers-to")),
-            )
-
-        for frame in frames:
-            out = []
-            for value, name in zip(frame["value"], frame["file"], strict=True):
-                first = name != file
-                if first:
-                    file, at, waiting = name, 0, []
-                start = at
-                # Spark's reader drops the separator: all rows but an archive's first follow one.
-                for o in waiting:
-                    take = o["missing"]
-                    o["parts"].append((magic + value)[:take])
-                    o["missing"] -= min(take, len(magic) + len(value))
-                if not first and (head := _header(value)):
-                    fields, skip = head
-                    length = int(fields["content-length"])
-                    block = value[skip : skip + length]
-                    waiting.append({"file": file, "at": start, "next": start + len(magic) + skip + length + 4, "fields": fields, "length": length, "parts": [block], "missing": length - len(block)})
-                at += len(value) + (0 if first else len(magic))
-                out += [done(o) for o in waiting if not o["missing"]]
-                waiting = [o for o in waiting if o["missing"]]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return rows.mapInPandas(scan, RECORD)
+    """file, at and next: for each magic before a header its offset and its successor's."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _Place()
+        for batch in batches:
+            out: list[tuple] = []
+            for file, size, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = place.step(file, size)
+                if at is not None and (fields := _fields(head)):
+                    out.append((file, at, at + len(MAGIC) + len(head.encode()) + 4 + int(fields["content-length"]) + 4))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "at", "next"])
+
+    rows = _rows(spark, path).select("file", F.octet_length("value").cast("long").alias("size"), "head")
+    return rows.mapInArrow(scan, "file string, at long, next long")
 
 
 def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -136,11 +137,55 @@ def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return seen[:n]
 
 
+def _name(file: str) -> str:
+    return hashlib.sha1(file.encode()).hexdigest()
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records reachable from their archive's start. A group here is one archive's candidate offsets."""
+    folder = new_path(spark, "chains")
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("at", kind="stable")
-        return frame[reachable(frame["at"].to_numpy(), frame["next"].to_numpy())]
-
-    return candidates(spark, path).groupBy("file").applyInPandas(chain, RECORD)
+        at = frame["at"].to_numpy("<i8")
+        kept = at[reachable(at, frame["next"].to_numpy())]
+        put(folder, _name(key[0]), kept)
+        return pd.DataFrame({"n": [len(kept)]})
+
+    # Written here; the count alone comes back.
+    if not candidates(spark, path).groupBy("file").applyInPandas(chain, "n long").agg(F.sum("n")).first()[0]:
+        return spark.createDataFrame([], RECORD)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, file, kept, now, begun, digest, missing = _Place(), None, frozenset(), None, 0, None, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for name, value, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = place.step(name, len(value))
+                if name != file:
+                    file, now = name, None
+                    try:
+                        kept = frozenset(get(folder, _name(file), "<i8").tolist())
+                    except FileNotFoundError:  # an archive without candidates
+                        kept = frozenset()
+                if at in kept:
+                    begun, now, digest = at, _fields(head), hashlib.sha1()
+                    missing = int(now["content-length"])
+                    piece = value[len(head.encode()) + 4 :]
+                else:
+                    piece = MAGIC.encode() + value
+                if now is None:
+                    continue
+                digest.update(piece[:missing])
+                missing -= min(missing, len(piece))
+                if not missing:
+                    kind = now.get("warc-type", "")
+                    size, sha = int(now["content-length"]), digest.hexdigest()
+                    if kind == "revisit":
+                        size, sha = int(now.get("x-payload-length", "0")), now.get("warc-payload-digest", "").removeprefix("sha1:")
+                    out.append((file, begun, _page(now.get("warc-record-id")), now.get("warc-target-uri"), kind, size, sha, _page(now.get("warc-refers-to"))))
+                    now = None
+            columns = zip(*out, strict=True) if out else [[]] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], [c.split()[0] for c in RECORD.split(", ")])
+
+    return _rows(spark, path).select("file", F.col("value").cast("binary").alias("value"), "head").mapInArrow(records, RECORD)

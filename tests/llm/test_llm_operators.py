@@ -132,7 +132,7 @@ def test_urls_equal_brute_force(spark):
     hosts = ["example.com", "a.example.com", "EXAMPLE.net", "notexample.com", "org", "x.org", "com", "ads-track.example.com", "b.ads-track.example.com", "example.com.evil", ""]
     urls = [f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(['/en/7', '/en/71?x', '/en/8#y', '/de/8', '/de/9', '/es/', '/EN/7', '', '?q=/en/', '/en'])}" for _ in range(400)] + [None, "", "nothing", "a://b://com/en/", "http://com/en/\n7"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("key", F.lit("k"))
-    rules = [(k, 0, v) for k, v in url_filter.RULES] + [(k, 1, "block") for k in url_filter.LISTED]
+    rules = [(k, 0, v) for k, v in url_filter.RULES] + [(k, 1, "block") for k in url_filter.sample_list()]
     got = {r["page_id"]: r for r in url_filter.judge(pages, spark.createDataFrame(rules, "key string, rank int, verdict string")).collect()}
     assert len(got) == len(urls)
     for i, u in enumerate(urls):
@@ -192,7 +192,7 @@ def test_topk_equals_brute_force(spark):
     v[50:200] = v[50]  # ties
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (350, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (450, [float("inf")] * 8), (500, []), (301, v[3].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
-    q = {i: np.floor(256 * np.array(x, float)) for i, x in rows if x and all(c is not None and math.isfinite(c) for c in x)}
+    q = {i: np.floor(256 * np.array(x or [0.0] * 8, float)) for i, x in rows if x is not None and all(c is not None and math.isfinite(c) for c in x)}
     got = collections.defaultdict(list)
     for r in topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0, 7, query_block=3, bins=16).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
@@ -210,41 +210,68 @@ def test_lm_equals_brute_force(docs):
     tokens = lambda s: s.encode().lower().split() + [b"\0end"]
     train = [tokens(t) for i, t in texts.items() if i % 3]
     count = collections.Counter(w for t in train for w in t)
-    pairs = collections.Counter(p for t in train for p in zip([None, *t], t))
-    total, seen, before = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (a, b), n in pairs.items():
-        total[a] += n
-        seen[a][min(n, 3) - 1] += 1
-        before[b] += 1
-    d2, d1 = (lm.discounts([sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]) for c in (pairs, before))
-    v, all_pairs = len(count), len(pairs)
-    spare = sum(d1[min(n, 3) - 1] for n in before.values()) / all_pairs
-    low = lambda b: (before[b] - (d1[min(before[b], 3) - 1] if before[b] else 0)) / all_pairs + spare / (v + 1)
-
-    def p(a, b):
-        if not total[a]:
-            return low(b)
-        n = pairs[a, b]
-        return (n - (d2[min(n, 3) - 1] if n else 0) + sum(x * y for x, y in zip(d2, seen[a])) * low(b)) / total[a]
-
-    assert sum(p(b"w1", b) for b in count) + p(b"w1", b"?") == pytest.approx(1)
+    triples = collections.Counter(p for t in train for p in zip([None, None, *t], [None, *t], t))
+    middle = collections.Counter((b, c) for _, b, c in triples)
+    single = collections.Counter(c for _, c in middle)
+
+    def table(counts):
+        total, seen = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+        for (*context, _), n in counts.items():
+            total[tuple(context)] += n
+            seen[tuple(context)][min(n, 3) - 1] += 1
+        return counts, total, seen, lm.discounts([sum(n == i for n in counts.values()) for i in (1, 2, 3, 4)])
+
+    orders = [table(triples), table(middle)]
+    d1 = lm.discounts([sum(n == i for n in single.values()) for i in (1, 2, 3, 4)])
+    v, kinds = len(count), len(middle)
+    spare = sum(d1[min(n, 3) - 1] for n in single.values()) / kinds
+
+    def p(*words, orders=orders):
+        *context, w = words
+        if not orders:
+            return (single[w] - (d1[min(single[w], 3) - 1] if single[w] else 0)) / kinds + spare / (v + 1)
+        counts, total, seen, d = orders[0]
+        low = p(*context[1:], w, orders=orders[1:])
+        if not total[tuple(context)]:
+            return low
+        n = counts[words]
+        return (n - (d[min(n, 3) - 1] if n else 0) + sum(x * y for x, y in zip(d, seen[tuple(context)])) * low) / total[tuple(context)]
+
+    for context in [(None, None), (None, train[0][0]), tuple(train[0][:2]), (b"?", train[0][0]), (b"?", b"?")]:
+        assert sum(p(*context, b) for b in count) + p(*context, b"??") == pytest.approx(1)
     model = lm.train(docs, F.col("doc_id") % 3 != 0)
     n_all = sum(count.values())
     assert model.train_tokens == n_all and model.vocabulary == v
     for r in lm.score(docs, model).collect():
         t = tokens(texts[r["doc_id"]])
         assert (r["n_tokens"], r["n_known"]) == (len(t), sum(w in count for w in t))
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None, *t], t)))
+        assert r["score"] == pytest.approx(sum(math.log10(p(*x)) for x in zip([None, None, *t], [None, *t], t)))
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.5) / (n_all + 0.5 * (v + 1))) for w in t))
 
 
+def test_lm_does_not_depend_on_buckets(docs, monkeypatch):
+    plain = {r["doc_id"]: r["score"] for r in lm.score(docs, lm.train(docs, F.col("doc_id") % 3 != 0)).collect()}
+    for name, small in (("BUCKET_TOKENS", 50), ("RANGE", 7), ("HELD", 100)):
+        monkeypatch.setattr(lm, name, small)
+    again = docs.unionAll(docs.limit(0)).repartition(3)
+    assert {r["doc_id"]: r["score"] for r in lm.score(docs, lm.train(again, F.col("doc_id") % 3 != 0)).collect()} == pytest.approx(plain)
+
+
+def test_packed_arrays_and_columns():
+    rng = np.random.default_rng(0)
+    for x in (np.zeros(0, np.uint64), np.array([5], np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64), np.array([2**64 - 1, 0], np.uint64)):
+        assert (lm.spread(lm.squeeze(x)) == x).all() and (lm.spread_sorted(lm.squeeze_sorted(np.sort(x))) == np.sort(x)).all()
+    counts = np.array([0, 254, 255, 256, 2**40, 1])
+    f = lm.Columns(lm.file_of({"hash": counts.astype("<u8")}, {"count": counts}))
+    assert (f["hash"] == counts).all() and (f.counts("count", np.array([5, 4, 3, 2, 1, 0])) == counts[::-1]).all()
+
+
 # --- 8 -------------------------------------------------------------------------------------------
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     encode = packing.encoder(path)
     rng = random.Random(6)
     pieces = ["a", "don't", " ", "  ", "\n", "\t", "é", "日本", "1", "23", "!", "'ll", "<|endoftext|>", "\u00a0", "😀", "\r\n", "Word", "\u2003", "x's"]
