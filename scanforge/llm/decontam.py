@@ -1,23 +1,25 @@
 """Benchmark decontamination (operator 9) by latent semantic retrieval.
 
-Benchmark items, cut into passages, are taken in blocks of about BLOCK_ITEMS, a bound on all that is
-broadcast. A block's passages are TF-IDF rows over the block's own words; a randomised SVD (Gaussian
-test matrix, power iterations with orthonormal bases, sums over the rows' tasks) gives its latent
-space. Documents are read in windows of WINDOW words every STEP, all of them, and stay where they
-are: there is no shuffle of documents. A window's share of TF-IDF energy on the block's words bounds
-its cosine, so only windows with enough of it are projected; those whose latent cosine with a passage
-reaches COSINE are candidates. A short passage or a paraphrase amid other words has a small cosine, so
-windows are candidates, too, if they can hold LCS_LEAST of the passage by the words in common: with
-its commonest words left out, as many as that leaves to be asked for, enough of the others stand
-within a window's reach. A candidate counts if the longest common subsequence of words with
-the passage, around the window, has at least LCS_SURE of the passage, or LCS_LEAST of it and the
-answer check holds: the item's answer (if the benchmark has one), or else at least half of the
-passage's rarest words, stands there too. That keeps paraphrases that change the wording between.
-
-Words are separated by space and 0x09-0x0D, their case folded over Unicode. Passages of fewer than SHORT words must
-stand there whole and in order; as runs of words they are searched everywhere. Null and empty items match nothing, nor do null and empty texts.
-Repeated rows and items are matched each; hits are distinct pairs with their best figures. Extra
-columns are kept by decontaminated() and ignored by hits(); empty tables give no hits.
+Benchmark items are cut into passages, a distributed table. A passage is a TF-IDF row over hashed word
+features; document frequencies are those of all passages. A randomised SVD of all rows (Gaussian test
+matrix, power iterations with orthonormal bases; products are summed over the rows' tasks) gives the
+latent space, whose rank is at most half the number of passages. Each passage's latent vector and words
+are written to files of about BLOCK passages in the shared folder, which workers map into memory: only
+the basis, at most FEATURES x RANK floats, is broadcast, however large the benchmark is.
+
+Documents are read once, whole, and stay where they are. Their words' latent vectors are summed in
+steps of STEP words; windows of several steps, about as long as the passage, have a cosine with each
+passage, and windows that reach COSINE and hold at least HELD of the passage's latent length are
+candidates. A candidate counts if the longest common subsequence of words with the passage, around the
+window, has at least LCS_SURE of the passage, or LCS_LEAST of it and the answer check holds: the item's
+answer (if the benchmark has a column for it), or else at least half of the passage's rarest words,
+stands there too. That keeps paraphrases that change the wording between. Passages of fewer than SHORT
+words must stand there whole and in order; as runs of words they are searched everywhere.
+
+Words are separated by space and 0x09-0x0D, their case folded over Unicode. Null and empty items match
+nothing, nor do null and empty texts. Repeated rows and items are matched each; hits are distinct pairs
+with their best figures. Extra columns are kept by decontaminated() and ignored by hits(); empty tables
+give no hits. The result does not depend on how passages are dealt to files.
 """
 
 from __future__ import annotations
@@ -28,25 +30,61 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, word_hashes
+from .common import Columns, file_of, get, new_path, pieces, put, stored, word_hashes
 
-BLOCK_ITEMS, PASSAGE, SHORT = 256, 96, 8
-WINDOW, STEP = 48, 16
-RANK, OVERSAMPLE, POWER = 256, 16, 2
-SHARE, COSINE = 0.12, 0.33
+PASSAGE, SHORT, BLOCK = 96, 8, 4096
+STEP, STEPS = 8, (2, 4, 6, 9, 12)
+FEATURES, RANK, OVERSAMPLE, POWER = 1 << 15, 128, 16, 2
+COSINE, HELD = 0.4, 0.35
 LCS_SURE, LCS_LEAST, RARE = 0.8, 0.6, 4
-_CHUNK = 4096
+#: Windows and passages whose cosines are held together.
+_WINDOWS, _PASSAGES, _CHUNK = 2048, 1024, 1024
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_ROW = "item long, words binary, given binary"
 
 
-def randomised_svd(rows: DataFrame, width: int, rank: int = RANK, power: int = POWER, seed: int = 0) -> np.ndarray:
-    """The leading right singular vectors (width x rank) of sparse rows (at array<int>, value array<double>).
+def folded_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of the texts with case folded in every script, not A-Z only."""
+    return word_hashes([t and t.casefold() for t in texts])
+
+
+def features(words: np.ndarray) -> np.ndarray:
+    return (words % np.uint64(FEATURES)).astype(np.int64)
+
+
+def passages(benchmark: DataFrame, answer_col: str | None = None) -> DataFrame:
+    """item, words and given (the answer's words) of each passage; hashes are packed."""
+    answer = F.col(answer_col) if answer_col else F.lit(None)
+    rows = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text", answer.cast("string").alias("answer")).distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for item, text, answer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, given = folded_hashes([text])[0], folded_hashes([answer])[0]
+                out += [(item, p.tobytes(), given.tobytes()) for p in np.array_split(words, max(1, -(-len(words) // PASSAGE))) if len(p)]
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["item", "words", "given"])
+
+    return rows.mapInArrow(cut, _ROW)
+
+
+def sparse_row(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A passage's features and TF-IDF values, of length 1 together."""
+    at, tf = np.unique(features(words), return_counts=True)
+    value = tf * idf[at]
+    return at, value / np.linalg.norm(value)
+
+
+def randomised_svd(rows: DataFrame, width: int, rank: int, row_of, power: int = POWER, seed: int = 0) -> np.ndarray:
+    """The leading right singular vectors (width x rank) of the sparse rows that row_of(batch) yields as (columns, values).
 
     Each product A'(A Q) is summed by chunks of columns in the executors; only matrices of the fixed
-    width (a block's words) come to the driver.
+    width come to the driver.
     """
 
     def product(q: np.ndarray) -> np.ndarray:
@@ -56,8 +94,7 @@ def randomised_svd(rows: DataFrame, width: int, rank: int = RANK, power: int = P
             q = held.value
             out = np.zeros((width, q.shape[1]))
             for batch in batches:
-                for at, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    at, value = np.array(at, int), np.array(value)
+                for at, value in row_of(batch):
                     out[at] += value[:, None] * (value @ q[at])
             starts = [s for s in range(0, width, _CHUNK) if out[s : s + _CHUNK].any()]
             yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([out[s : s + _CHUNK].tobytes() for s in starts], pa.binary())], ["start", "sums"])
@@ -69,6 +106,7 @@ def randomised_svd(rows: DataFrame, width: int, rank: int = RANK, power: int = P
         for r in rows.mapInArrow(partial, "start long, sums binary").groupBy("start").applyInPandas(total, "start long, sums binary").collect():
             part = np.frombuffer(bytes(r["sums"])).reshape(-1, q.shape[1])
             out[r["start"] : r["start"] + len(part)] = part
+        held.unpersist()
         return out
 
     size = min(width, rank + OVERSAMPLE)
@@ -80,84 +118,110 @@ def randomised_svd(rows: DataFrame, width: int, rank: int = RANK, power: int = P
     return basis @ vectors[:, keep]
 
 
-@dataclass
-class Index:
-    """A block of the benchmark in its latent space."""
-
-    items: np.ndarray  # of each passage
-    words: list[np.ndarray]
-    inside: np.ndarray  # passages x vocabulary: which words a passage has
-    masks: list[dict[int, int]]  # of each passage, by place in the vocabulary
-    answers: list[list[np.ndarray]]  # word sequences of which at least half, and half at least one, must be there
-    vocabulary: np.ndarray  # sorted word hashes
-    idf: np.ndarray
-    unseen: float  # the weight of other words
-    lists: tuple[np.ndarray, np.ndarray]  # for each word of the vocabulary, the passages that ask for it (starts, passages)
-    asked: np.ndarray  # of each passage: how many such words must stand near each other
-    runs: dict[int, tuple[np.ndarray, np.ndarray]]  # by length, the hashes of short passages, sorted, and the passages
-    scores: np.ndarray  # what a word of the vocabulary adds to the product with each passage, in the latent space; last row: nothing
+class Block:
+    """A file of passages."""
 
+    def __init__(self, columns: Columns, rank: int):
+        self.items, self.starts, self.words = columns["item"], columns["start"], columns["word"]
+        self.sizes = np.diff(self.starts)
+        self.latent = columns["latent"].reshape(-1, rank)
+        self.needs, self.ordered = (columns["need_start"], columns["need"]), columns["ordered"]
+        self.masks: dict[int, dict[int, int]] = {}
+        # A passage's window has about its length.
+        self.steps = np.array(STEPS)[np.abs(self.sizes[:, None] - np.array(STEPS) * STEP).argmin(1)]
+        self.runs = {}
+        for size in np.unique(self.sizes[self.sizes < SHORT]).tolist():
+            ids = np.flatnonzero(self.sizes == size)
+            h = np.array([rolled(self.passage(i), size)[0] for i in ids.tolist()], np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.runs[size] = h[order], ids[order]
 
-def folded_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """word_hashes() of the texts with case folded in every script, not A-Z only."""
-    return word_hashes([t and t.casefold() for t in texts])
+    def passage(self, p: int) -> np.ndarray:
+        return self.words[self.starts[p] : self.starts[p + 1]]
 
+    def mask(self, p: int) -> dict[int, int]:
+        if p not in self.masks:
+            self.masks[p] = places(self.passage(p).tolist())
+        return self.masks[p]
 
-def passages(text: str | None) -> list[np.ndarray]:
-    words, _ = folded_hashes([text])
-    parts = max(1, -(-len(words) // PASSAGE))
-    return [p for p in np.array_split(words, parts) if len(p)]
+    def needed(self, p: int) -> np.ndarray:
+        starts, words = self.needs
+        return words[starts[p] : starts[p + 1]]
 
 
-def build(spark: SparkSession, items: list[tuple]) -> Index | None:
-    """From rows (item_id, text, answer or None) of one block."""
-    own = [(i, p, answer) for i, text, answer in items for p in passages(text)]
-    if not own:
+@dataclass
+class Index:
+    """The benchmark in its latent space; blocks of passages are files in `folder`."""
+
+    folder: str
+    blocks: list[int]
+    rows: np.ndarray  # of each feature its row of the basis, the last one for features of no passage
+    basis: np.ndarray  # idf times the right singular vectors, and a last row of zeros
+
+    def block(self, number: int) -> Block:
+        held = self.__dict__.setdefault("_held", {})
+        if number not in held:
+            held[number] = Block(Columns(get(self.folder, f"passages-{number}", np.uint8)), self.basis.shape[1])
+        return held[number]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_held"}
+
+
+def build(benchmark: DataFrame, answer_col: str | None = None, rank: int = RANK, block: int = BLOCK) -> Index | None:
+    spark = benchmark.sparkSession
+    table = stored(passages(benchmark, answer_col), "passages")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(FEATURES, np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for words in batch.column(1).to_pylist():
+                seen[np.unique(features(np.frombuffer(words, np.uint64)))] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], ["feature", "n"])
+
+    counts = table.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas().set_index("feature")["n"]  # a row per feature
+    n = int(counts.get(-1, 0))
+    if not n:
         return None
-    n = len(own)
-    vocabulary, seen = np.unique(np.concatenate([np.unique(p) for _, p, _ in own]), return_counts=True)
-    idf = np.log((n + 1) / seen) + 0.1
-    rows = []
-    for _, p, _ in own:
-        words, tf = np.unique(p, return_counts=True)
-        at = np.searchsorted(vocabulary, words)
-        value = tf * idf[at]
-        rows.append((at.tolist(), (value / np.linalg.norm(value)).tolist()))
-    matrix = spark.createDataFrame(rows, "at array<int>, value array<double>")
-    basis = randomised_svd(matrix, len(vocabulary)).astype(np.float32)
-    latent = np.stack([np.array(v, np.float32) @ basis[at] for at, v in rows])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    # A window's latent vector is the sum of its words' rows of the basis, so its product with a passage is a sum of these.
-    scores = np.vstack(((basis * idf[:, None].astype(np.float32)) @ latent.T, np.zeros((1, n), np.float32)))
-    answers = []
-    for _, p, answer in own:
-        given, _ = folded_hashes([answer])
-        words = np.unique(p)
-        rarest = words[np.argsort(-idf[np.searchsorted(vocabulary, words)], kind="stable")][: max(1, len(words) // RARE)]
-        answers.append([given] if len(given) else [np.array([w]) for w in rarest])
-    ordered = [np.searchsorted(vocabulary, p) for _, p, _ in own]
-    inside = np.zeros((n, len(vocabulary)), bool)
-    for i, at in enumerate(ordered):
-        inside[i, at] = True
-    masks = [places(at.tolist()) for at in ordered]
-    rare, asked, short = [], np.ones(n, np.int64), {}
-    for i, at in enumerate(ordered):
-        if len(at) < SHORT:
-            short.setdefault(len(at), []).append(i)
-            continue
-        words, tf = np.unique(at, return_counts=True)
-        order = np.argsort(idf[words], kind="stable")
-        most = int(np.ceil(LCS_LEAST * len(at) - 1e-9))
-        out = int(np.searchsorted(np.cumsum(tf[order]), most - max(2, most // 3), "right"))
-        asked[i] = most - tf[order[:out]].sum()
-        rare += [(w, i) for w in words[order[out:]].tolist()]
-    pairs = np.array(sorted(rare), np.int64).reshape(-1, 2)
-    lists = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1)), pairs[:, 1]
-    runs = {}
-    for size, ids in short.items():
-        h = np.array([rolled(own[i][1], size)[0] for i in ids], np.uint64)
-        runs[size] = np.sort(h), np.array(ids)[np.argsort(h, kind="stable")]
-    return Index(np.array([i for i, _, _ in own]), [p for _, p, _ in own], inside, masks, answers, vocabulary, idf, float(np.log(n + 1) + 0.1), lists, asked, runs, scores)
+    present = np.sort(counts.index[counts.index >= 0].to_numpy())
+    idf = np.zeros(FEATURES)
+    idf[present] = np.log((n + 1) / counts[present].to_numpy()) + 0.1
+    place = np.full(FEATURES, len(present))
+    place[present] = np.arange(len(present))
+    weights = spark.sparkContext.broadcast((idf, place))
+
+    def row_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        idf, place = weights.value
+        for words in batch.column(1).to_pylist():
+            at, value = sparse_row(np.frombuffer(words, np.uint64), idf)
+            yield place[at], value
+
+    basis = randomised_svd(table, len(present), max(1, min(rank, n // 2)), row_of)
+    basis = np.vstack((idf[present, None] * basis, np.zeros((1, basis.shape[1])))).astype(np.float32)
+    held = spark.sparkContext.broadcast(basis)
+    folder = new_path(spark, "latent")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, place = weights.value
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        number = TaskContext.get().partitionId()
+        if rows:
+            words = [np.frombuffer(w, np.uint64) for _, w, _ in rows]
+            needs = []
+            for w, (_, _, given) in zip(words, rows, strict=True):
+                own = np.unique(w)
+                # The answer, which must stand there in order, or the rarest words, of which half must.
+                needs.append(np.frombuffer(given, np.uint64) if given else own[np.argsort(-idf[features(own)], kind="stable")][: max(1, len(own) // RARE)])
+            starts = lambda x: np.concatenate(([0], np.cumsum([len(y) for y in x]))).astype("<i8")
+            latent = np.stack([held.value[place[features(w)]].sum(0) for w in words]).astype("<f4")
+            ordered = np.array([bool(g) for _, _, g in rows], np.uint8)
+            put(folder, f"passages-{number}", file_of({"item": np.array([i for i, _, _ in rows], "<i8"), "start": starts(words), "word": np.concatenate(words), "latent": latent.ravel(), "need_start": starts(needs), "need": np.concatenate(needs), "ordered": ordered}, {}))
+        yield pa.RecordBatch.from_arrays([pa.array([number] if rows else [], pa.int64())], ["block"])
+
+    numbers = [r["block"] for r in table.repartition(-(-n // block), "item").mapInArrow(write, "block long").collect()]  # a number per file
+    return Index(folder, sorted(set(numbers)), place, basis)
 
 
 def rolled(words: np.ndarray, size: int) -> np.ndarray:
@@ -168,35 +232,6 @@ def rolled(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def proposed(index: Index, at: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(text, passage, window's start) for all windows that may have LCS_LEAST of a passage around them."""
-    starts, lists = index.lists
-    place = np.flatnonzero(known)
-    size = (starts[1:] - starts[:-1])[at[place]]
-    place, size = place[size > 0], size[size > 0]
-    if not len(place):
-        return
-    first = starts[at[place]]
-    passage = lists[np.arange(size.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)]
-    place = np.repeat(place, size)
-    key = (np.searchsorted(bounds, place, "right") - 1) * len(index.words) + passage
-    order = np.argsort(key, kind="stable")
-    key, place, passage = key[order], place[order], passage[order]
-    lengths = np.array([len(p) for p in index.words])
-    last = np.minimum(np.arange(len(key)) + index.asked[passage] - 1, len(key) - 1)
-    there = (key[last] == key) & (np.arange(len(key)) + index.asked[passage] <= len(key)) & (place[last] - place < WINDOW + 2 * lengths[passage])
-    done: set[tuple[int, int]] = set()
-    for k, low, high in zip(key[there].tolist(), place[last[there]].tolist(), place[there].tolist(), strict=True):
-        text, p = divmod(k, len(index.words))
-        a, b, n = int(bounds[text]), int(bounds[text + 1]), int(lengths[p])
-        end = max(a, b - WINDOW)
-        # Windows whose reach, n words on both sides, has all of the places from high to low.
-        for s in [*range(a + max(0, -(-(low - WINDOW - n + 1 - a) // STEP)) * STEP, min(high + n, end) + 1, STEP), *([end] if low - WINDOW - n < end <= high + n else [])]:
-            if (k, s) not in done:
-                done.add((k, s))
-                yield text, p, s
-
-
 def places(words: list[int]) -> dict[int, int]:
     """For each word the bits of its places."""
     masks: dict[int, int] = {}
@@ -221,115 +256,110 @@ def _stands(sequence: np.ndarray, near: np.ndarray) -> bool:
     return common_subsequence(len(sequence), places(sequence.tolist()), near.tolist()) == len(sequence)
 
 
+def candidates(index: Index, block: Block, sums: np.ndarray, first: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(first step, passage, cosine) of windows near a passage; sums has a row for each step of STEP words, first the text's first step."""
+    last = np.append(np.flatnonzero(owner[1:] != owner[:-1]), len(owner) - 1)[owner - owner[0]] if len(owner) else owner
+    total = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums, 0, dtype=np.float64)))
+    for k in np.unique(block.steps[block.sizes >= SHORT]).tolist():
+        own = np.flatnonzero((block.steps == k) & (block.sizes >= SHORT))
+        # A text's windows: all with k whole steps, or all of a shorter text.
+        begin = np.flatnonzero((np.arange(len(owner)) + k - 1 <= last) | (np.arange(len(owner)) == first))
+        w = (total[np.minimum(begin + k, last[begin] + 1)] - total[begin]).astype(np.float32)
+        length = np.sqrt((w * w).sum(1))
+        some = length > 1e-6
+        begin, w, length = begin[some], w[some], length[some]
+        for p in range(0, len(own), _PASSAGES):
+            ids = own[p : p + _PASSAGES]
+            latent = block.latent[ids]
+            norm = np.sqrt((latent * latent).sum(1))
+            for a in range(0, len(begin), _WINDOWS):
+                dot = w[a : a + _WINDOWS] @ latent.T
+                near = (dot >= COSINE * length[a : a + _WINDOWS, None] * norm) & (dot >= HELD * norm * norm)
+                for i, j in zip(*np.nonzero(near), strict=True):
+                    yield int(begin[a + i]), int(ids[j]), float(dot[i, j] / (length[a + i] * norm[j]))
+
+
 def matches(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, float, float]]:
     """(text number, item, cosine, lcs share) for each passage found, the best for each pair."""
     hashes, bounds = folded_hashes(texts)
     if not len(hashes):
         return
-    at = np.minimum(np.searchsorted(index.vocabulary, hashes), len(index.vocabulary) - 1)
-    known = index.vocabulary[at] == hashes
-    weight = np.where(known, index.idf[at], index.unseen)
-    energy = np.concatenate(([0], np.cumsum(weight**2)))
-    inside = np.concatenate(([0], np.cumsum(weight**2 * known)))
-    starts, owners = [], []
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        if b > a:
-            s = np.append(np.arange(a, max(a + 1, b - WINDOW), STEP), max(a, b - WINDOW))
-            starts.append(s), owners.append(np.full(len(s), i))
-    start, owner = np.concatenate(starts), np.concatenate(owners)
-    end = np.minimum(start + WINDOW, bounds[owner + 1])
-    whole = energy[end] - energy[start]
-    rich = inside[end] - inside[start] >= SHARE * whole
-    start, end, owner, whole = start[rich], end[rich], owner[rich], whole[rich]
+    lengths = np.diff(bounds)
+    steps = -(-lengths // STEP)
+    owner = np.repeat(np.arange(len(lengths)), steps)
+    first = np.repeat(np.concatenate(([0], np.cumsum(steps)[:-1])), steps)
+    start = bounds[owner] + (np.arange(len(owner)) - first) * STEP
+    # By parts, so that the words' vectors do not stand together.
+    sums = np.concatenate([np.add.reduceat(index.basis[index.rows[features(hashes[start[a] : start[b] if b < len(start) else len(hashes)])]], start[a : min(b, len(start))] - start[a], 0) for a, b in ((a, a + 2048) for a in range(0, len(start), 2048))])
+    rank_of = np.cumsum(np.concatenate(([0], (owner[1:] != owner[:-1]).astype(int))))
     best: dict[tuple[int, int], tuple[float, float]] = {}
-    seen: set[tuple[int, int]] = set()
-    none = len(index.vocabulary)
-    columns = np.arange(WINDOW)
-
-    def judge(text: int, p: int, s: int, e: int, cosine: float | None = None) -> None:
-        n = len(index.words[p])
-        around = slice(max(bounds[text], s - n), min(bounds[text + 1], e + n))
-        least = 1.0 if n < SHORT else LCS_LEAST
-        near = at[around][known[around]]
-        near = near[index.inside[p, near]]
-        share = common_subsequence(n, index.masks[p], near.tolist()) / n if len(near) >= least * n else 0.0
-        if share >= least:
-            if share < LCS_SURE:
-                found = sum(_stands(x, hashes[around]) for x in index.answers[p])
-                if not found or 2 * found < len(index.answers[p]):
+
+    def judge(block: Block, text: int, p: int, s: int, e: int, cosine: float) -> None:
+        n = int(block.sizes[p])
+        around = hashes[max(bounds[text], s - n) : min(bounds[text + 1], e + n)]
+        share = common_subsequence(n, block.mask(p), around.tolist()) / n
+        if share < (1.0 if n < SHORT else LCS_LEAST):
+            return
+        if share < LCS_SURE:
+            need = block.needed(p)
+            if block.ordered[p]:
+                if common_subsequence(len(need), places(need.tolist()), around.tolist()) < len(need):
                     return
-            if cosine is None:
-                cosine = float(index.scores[at[s:e][known[s:e]], p].sum() / np.sqrt(energy[e] - energy[s]))
-            key = (text, int(index.items[p]))
-            best[key] = max(best.get(key, (0.0, -1.0)), (share, cosine))
-
-    for a in range(0, len(start), 256):
-        s, e, o = start[a : a + 256], end[a : a + 256], owner[a : a + 256]
-        place = s[:, None] + columns
-        there = (place < e[:, None]) & known[np.minimum(place, len(known) - 1)]
-        rows = np.where(there, at[np.minimum(place, len(at) - 1)], none)
-        cosine = index.scores[rows].sum(1) / np.sqrt(whole[a : a + 256, None])
-        for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            seen.add((int(s[w]), int(p)))
-            judge(int(o[w]), int(p), int(s[w]), int(e[w]), float(cosine[w, p]))
-    for text, p, s in proposed(index, at, known, bounds):
-        if (s, p) not in seen:
-            judge(text, p, s, min(s + WINDOW, int(bounds[text + 1])))
-    for size, (runs, ids) in index.runs.items():
-        h = rolled(hashes, size)
-        low, high = np.searchsorted(runs, h), np.searchsorted(runs, h, "right")
-        for s in np.flatnonzero(high > low).tolist():
-            text = int(np.searchsorted(bounds, s, "right")) - 1
-            if s + size <= bounds[text + 1]:
-                for p in ids[low[s] : high[s]].tolist():
-                    judge(text, p, s, min(s + WINDOW, int(bounds[text + 1])))
+            elif 2 * np.isin(need, around).sum() < len(need):
+                return
+        key = (text, int(block.items[p]))
+        best[key] = max(best.get(key, (0.0, -1.0)), (share, cosine))
+
+    for number in index.blocks:
+        block = index.block(number)
+        for step, p, cosine in candidates(index, block, sums, first, rank_of):
+            s = int(start[step])
+            judge(block, int(owner[step]), p, s, s + int(block.steps[p]) * STEP, cosine)
+        for size, (runs, ids) in block.runs.items():
+            h = rolled(hashes, size)
+            low, high = np.searchsorted(runs, h), np.searchsorted(runs, h, "right")
+            for s in np.flatnonzero(high > low).tolist():
+                text = int(np.searchsorted(bounds, s, "right")) - 1
+                if s + size <= bounds[text + 1]:
+                    for p in ids[low[s] : high[s]].tolist():
+                        judge(block, text, p, s, s + size, 1.0)
     for (text, item), (share, cosine) in best.items():
         yield text, item, cosine, share
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
-    """Indexes of the benchmark's blocks, one at a time: items are dealt by hash, so each is about block_items."""
-    answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None)
-    rows = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text", answer.cast("string").alias("answer")).distinct()
-    parts = -(-rows.count() // block_items)
-    for part in range(parts):
-        own = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text", "answer").collect()
-        if index := build(spark, [tuple(r) for r in own]):
-            yield index
-
-
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None) -> DataFrame:
     """Distinct doc_id, item_id with cosine and lcs (the best shares found)."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, cosine double, lcs double"
-    found = spark.createDataFrame([], schema)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for index in blocks(spark, benchmark):
-        held = spark.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                rows = [(ids[a + i], *m) for a, b in slices(texts) for i, *m in matches(held.value, texts[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "cosine", "lcs"])
-
-        found = found.unionByName(own.mapInArrow(search, schema))
+    spark, schema = docs.sparkSession, "doc_id long, item_id long, cosine double, lcs double"
+    index = build(benchmark, answer_col)
+    if index is None:
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast(index)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for a, b, texts in pieces(batch.column(1)):
+                ids = batch.column(0).slice(a, b - a).to_pylist()
+                rows += [(ids[i], *m) for i, *m in matches(held.value, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "cosine", "lcs"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None) -> DataFrame:
     """The rows of docs, all columns, in which no passage is found."""
-    for index in blocks(docs.sparkSession, benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                keep = np.ones(len(texts), bool)
-                for a, b in slices(texts):
-                    for i, *_ in matches(held.value, texts[a:b]):
-                        keep[a + i] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    index = build(benchmark, answer_col)
+    if index is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(index)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for a, _, texts in pieces(batch.column("text")):
+                for i, *_ in matches(held.value, texts):
+                    keep[a + i] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)

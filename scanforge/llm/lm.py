@@ -24,7 +24,6 @@ probability 1 / (V + 1) = 1. Word ids have 32 bits: a larger vocabulary is refus
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _M1, _M2, get, mixed, new_path, pieces, put, word_hashes
+from .common import _M1, _M2, Columns, file_of, get, mixed, new_path, pieces, put, word_hashes
 
 #: Input bytes for each bucket of words, and training tokens for each bucket of bigrams.
 BUCKET_BYTES, BUCKET_TOKENS = 16 << 20, 2_000_000
@@ -42,6 +41,8 @@ BUCKET_BYTES, BUCKET_TOKENS = 16 << 20, 2_000_000
 HELD_WORDS, HELD = 4_000_000, 3_000_000
 #: The most word ids in one file of statistics.
 RANGE = 1 << 16
+#: Bigrams of a file that share one sum of words before them.
+GROUP = 16
 END = np.uint64(0x5E0D5E0D5E0D5E0D)
 _LOW, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 _PACKED = "bucket long, keys binary, counts binary"
@@ -83,42 +84,6 @@ def spread_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(spread(b), dtype=np.uint64)
 
 
-def file_of(columns: dict[str, np.ndarray], counts: dict[str, np.ndarray]) -> np.ndarray:
-    """The bytes of a file of columns; counts take a byte each, those of 255 and more stand beside them."""
-    arrays = dict(columns)
-    for name, x in counts.items():
-        large = x >= 255
-        arrays[name] = np.where(large, 255, x).astype(np.uint8)
-        arrays[f"{name}@"], arrays[f"{name}!"] = np.flatnonzero(large).astype("<u8"), x[large].astype("<u8")
-    head, at, parts = {}, 0, []
-    for name, x in arrays.items():
-        raw = x.tobytes()
-        head[name] = (x.dtype.str, at, len(x))
-        parts.append(raw + bytes(-len(raw) % 8))
-        at += len(parts[-1])
-    text = json.dumps(head).encode()
-    text += b" " * (-len(text) % 8)
-    return np.frombuffer(b"".join([len(text).to_bytes(8, "little"), text, *parts]), np.uint8)
-
-
-class Columns:
-    """A file of columns, mapped."""
-
-    def __init__(self, raw: np.ndarray):
-        size = int.from_bytes(raw[:8].tobytes(), "little")
-        self.raw, self.begin, self.head = raw, 8 + size, json.loads(raw[8 : 8 + size].tobytes())
-
-    def __getitem__(self, name: str) -> np.ndarray:
-        kind, at, n = self.head[name]
-        return self.raw[self.begin + at : self.begin + at + n * np.dtype(kind).itemsize].view(kind)
-
-    def counts(self, name: str, at: np.ndarray) -> np.ndarray:
-        out = self[name][at].astype(np.int64)
-        if (large := out == 255).any():
-            out[large] = self[f"{name}!"][np.searchsorted(self[f"{name}@"], at[large])]
-        return out
-
-
 # --- words and n-grams ------------------------------------------------------------------------------
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with an end token after each text, and the bounds of texts."""
@@ -263,9 +228,11 @@ class Model:
             place = np.minimum(np.searchsorted(known, unique[at[b] : at[b + 1]]), len(known) - 1)
             there = np.flatnonzero(known[place] == unique[at[b] : at[b + 1]])
             place = place[there]
-            starts, end = f["start"], len(f["word"])
-            after = np.where(place + 1 < len(starts), starts[np.minimum(place + 1, len(starts) - 1)], end)
-            rows[:, at[b] + there] = [starts[place], after, *[f.counts(c, place) for c in ("total", "n1", "n2")], self.file(f"continued-{b}").counts("continued", place)]
+            # A row's words begin after those of the rows before it: the sum at its group of GROUP rows, and its neighbours'.
+            near = (place // GROUP * GROUP)[:, None] + np.arange(GROUP)
+            degree = f.counts("degree", np.minimum(near, len(known) - 1).ravel()).reshape(near.shape)
+            start = f["base"][place // GROUP].astype(np.int64) + (degree * (near < place[:, None])).sum(1)
+            rows[:, at[b] + there] = [start, start + f.counts("degree", place), *[f.counts(c, place) for c in ("total", "n1", "n2")], self.file(f"continued-{b}").counts("continued", place)]
         return bucket_of(unique, self.bits)[back], rows[:, back]
 
     def trigram_counts(self, bucket: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -403,8 +370,9 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text") -> Model:
         whole = w != model.nothing
         first = starts_of(k)
         total, n1, n2 = (np.add.reduceat(x, first) for x in (c * whole, (c == 1) & whole, (c == 2) & whole)) if len(k) else (c,) * 3
-        start = np.cumsum(whole) - whole
-        put(folder, f"bigrams-{key[0]}", file_of({"hash": k[first], "start": start[first].astype("<u8" if len(k) >> 32 else "<u4"), "word": w[whole]}, {"total": total, "n1": n1.astype(np.int64), "n2": n2.astype(np.int64), "count": c[whole]}))
+        base = (np.cumsum(whole) - whole)[first[::GROUP]].astype("<u8")
+        degree = np.add.reduceat(whole.astype(np.int64), first) if len(k) else c
+        put(folder, f"bigrams-{key[0]}", file_of({"hash": k[first], "base": base, "word": w[whole]}, {"degree": degree, "total": total, "n1": n1.astype(np.int64), "n2": n2.astype(np.int64), "count": c[whole]}))
         # The same bigrams end trigrams: (second, third).
         second = unmixed(k[whole]) & _LOW
         ends, n = np.unique((second << _32) | w[whole].astype(np.uint64), return_counts=True)

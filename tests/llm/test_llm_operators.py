@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scanforge.llm import chat, decontam, html, lm, neardup, packing, quality, topk, url_filter, warc
+from scanforge.llm import chat, common, decontam, html, lm, neardup, packing, quality, topk, url_filter, warc
 from scanforge.llm.common import word_hashes
 
 DOCS = "doc_id long, text string, host string, key string"  # extra columns with names that operators use inside
@@ -262,7 +262,7 @@ def test_packed_arrays_and_columns():
     for x in (np.zeros(0, np.uint64), np.array([5], np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64), np.array([2**64 - 1, 0], np.uint64)):
         assert (lm.spread(lm.squeeze(x)) == x).all() and (lm.spread_sorted(lm.squeeze_sorted(np.sort(x))) == np.sort(x)).all()
     counts = np.array([0, 254, 255, 256, 2**40, 1])
-    f = lm.Columns(lm.file_of({"hash": counts.astype("<u8")}, {"count": counts}))
+    f = common.Columns(common.file_of({"hash": counts.astype("<u8")}, {"count": counts}))
     assert (f["hash"] == counts).all() and (f.counts("count", np.array([5, 4, 3, 2, 1, 0])) == counts[::-1]).all()
 
 
@@ -349,7 +349,7 @@ def test_svd_is_exact_on_low_rank(spark):
     rng = np.random.default_rng(1)
     a = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 30))
     rows = spark.createDataFrame([(list(range(30)), r.tolist()) for r in a], "at array<int>, value array<double>")
-    v = decontam.randomised_svd(rows, 30, 10)
+    v = decontam.randomised_svd(rows, 30, 10, lambda batch: ((np.array(at), np.array(x)) for at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
     assert v.shape == (30, 5) and a @ v @ v.T == pytest.approx(a, abs=1e-8)
 
 
