@@ -39,7 +39,7 @@ from .common import Columns, file_of, get, new_path, pieces, put, stored, word_h
 PASSAGE, SHORT, BLOCK = 96, 8, 4096
 STEP, STEPS = 8, (2, 4, 6, 9, 12)
 FEATURES, RANK, OVERSAMPLE, POWER = 1 << 15, 128, 16, 2
-COSINE, HELD = 0.4, 0.35
+COSINE, HELD = 0.45, 0.4
 LCS_SURE, LCS_LEAST, RARE = 0.8, 0.6, 4
 #: Windows and passages whose cosines are held together.
 _WINDOWS, _PASSAGES, _CHUNK = 2048, 1024, 1024
@@ -289,8 +289,16 @@ def matches(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, f
     owner = np.repeat(np.arange(len(lengths)), steps)
     first = np.repeat(np.concatenate(([0], np.cumsum(steps)[:-1])), steps)
     start = bounds[owner] + (np.arange(len(owner)) - first) * STEP
-    # By parts, so that the words' vectors do not stand together.
-    sums = np.concatenate([np.add.reduceat(index.basis[index.rows[features(hashes[start[a] : start[b] if b < len(start) else len(hashes)])]], start[a : min(b, len(start))] - start[a], 0) for a, b in ((a, a + 2048) for a in range(0, len(start), 2048))])
+    # The words' rows, STEP to a step, filled up with the row of zeros; by parts, so that vectors do not stand together.
+    none = len(index.basis) - 1
+    word = start[:, None] + np.arange(STEP)
+    rows = np.where(word < bounds[owner + 1][:, None], index.rows[features(hashes)][np.minimum(word, len(hashes) - 1)], none)
+    sums = np.empty((len(start), index.basis.shape[1]), np.float32)
+    for a in range(0, len(start), 2048):
+        part = index.basis[rows[a : a + 2048, 0]]
+        for k in range(1, STEP):
+            part += index.basis[rows[a : a + 2048, k]]
+        sums[a : a + 2048] = part
     rank_of = np.cumsum(np.concatenate(([0], (owner[1:] != owner[:-1]).astype(int))))
     best: dict[tuple[int, int], tuple[float, float]] = {}
 
