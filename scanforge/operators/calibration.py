@@ -6,8 +6,11 @@ detector element, so Spark broadcasts them by their size, and shuffles them if t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,9 +90,12 @@ def flag_pixels(cells: DataFrame, dark: DataFrame | None, raw_max: int, bad: Dat
     return cells
 
 
-def remove_dark(cells: DataFrame, dark: DataFrame) -> DataFrame:
-    """C2, J3. Values of 0 and of 65535 stay."""
-    cells = cells.join(dark.select(*PIXEL, F.col("mean").alias("_dark")), PIXEL, "left")
+def remove_dark(cells: DataFrame, dark: DataFrame, raw_max: int | None = None) -> DataFrame:
+    """C2, J3. Values of 0 and of 65535 stay; a dark mean over raw_max is an error."""
+    mean = F.col("mean")
+    if raw_max is not None:
+        mean = F.when(mean > raw_max, F.raise_error(F.lit(f"a dark mean is over the largest raw value, {raw_max}")).cast("double")).otherwise(mean)
+    cells = cells.join(dark.select(*PIXEL, mean.alias("_dark")), PIXEL, "left")
     less = F.col("value") - F.coalesce("_dark", F.lit(0.0))
     usable = (F.col("value") != 0) & (F.col("value") < MAX_VALUE)
     low = usable & (less <= 0)
@@ -102,15 +108,24 @@ def smear_factor(integration_ms: float, spectral_binning: int = 1) -> float:
 
 def smear_spectrum(spectrum: Column, factor: float) -> Column:
     """Each band less factor times the sum of the corrected bands before it, not under 0. The first band stays."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        first = F.size(state["out"]) == 0
-        total = F.when(first, 0.0).otherwise(state["sum"] + F.element_at(state["out"], -1))
-        fixed = F.when(first, x).otherwise(F.greatest(x - factor * total, F.lit(0.0)))
-        return F.struct(total.alias("sum"), F.concat(state["out"], F.array(fixed)).alias("out"))
-
-    return F.aggregate(spectrum, start, step, lambda s: s["out"])
+    def corrected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # One pass over the bands for all spectra of a batch; as columns each step would copy the bands before it.
+        for batch in batches:
+            out = [None] * len(batch)
+            sizes = batch.map(lambda x: -1 if x is None else len(x)).to_numpy()
+            for size in np.unique(sizes[sizes >= 0]):
+                rows = np.flatnonzero(sizes == size)
+                x = np.stack(batch.iloc[rows].to_list()).astype(float) if size else np.zeros((len(rows), 0))
+                total = np.zeros(len(rows))
+                for band in range(1, size):
+                    total += x[:, band - 1]
+                    x[:, band] = np.maximum(x[:, band] - factor * total, 0)
+                for row, values in zip(rows, x, strict=True):
+                    out[row] = values
+            yield pd.Series(out)
+
+    return F.pandas_udf(corrected, "array<double>")(spectrum)
 
 
 def smear_correct(cells: DataFrame, factor: float) -> DataFrame:
@@ -187,9 +202,13 @@ def flip(cells: DataFrame, axis: str, size: int) -> DataFrame:
 
 
 def frame_deltas(lines: DataFrame, by: str = "flight") -> DataFrame:
-    """Adds delta, the step of the 16-bit counter (column frame) from the line before, wraps undone; null on the first."""
+    """Adds delta, the step of the 16-bit counter (column frame) from the line before, wraps undone; null on the first.
+
+    A counter that stands still or goes back is an error.
+    """
     step = F.col("frame") - F.lag("frame").over(Window.partitionBy(by).orderBy("line"))
-    return lines.withColumn("delta", F.when(step <= -(COUNTER_WRAP - 3), step + COUNTER_WRAP).otherwise(step))
+    step = F.when(step <= -(COUNTER_WRAP - 3), step + COUNTER_WRAP).otherwise(step)
+    return lines.withColumn("delta", F.when(step <= 0, F.raise_error(F.lit("the frame counter does not rise")).cast("long")).otherwise(step))
 
 
 def missing_frames(lines: DataFrame, by: str = "flight") -> DataFrame:
@@ -213,10 +232,10 @@ def fill_gaps(lines: DataFrame, by: str = "flight") -> DataFrame:
 def boundary_shift(before_jump: int, after_jump: int, sensor_id: int, force: bool = False) -> int:
     """How far the first dark line moves, from the counter's jumps into and out of it."""
     if before_jump == after_jump:
-        if force:
-            return 0
         if sensor_id == 110001:
             return 1
+        if force:
+            return 0
         raise ValueError("the frame counter does not tell light lines from dark ones")
     return 0 if before_jump > after_jump else 1
 
@@ -273,6 +292,42 @@ def merge_masks(masks: DataFrame) -> DataFrame:
     return masks.groupBy("line", "sample", "band").agg(F.bit_or("mask").alias("mask"))
 
 
+def shape_of(cells: DataFrame) -> tuple[int, int, int]:
+    """Lines, bands and samples of a cube, from its largest indices."""
+    r = cells.agg(*[F.coalesce(F.max(c) + 1, F.lit(0)) for c in ("line", "band", "sample")]).first()
+    return tuple(int(x) for x in r)
+
+
+def check_shapes(first: DataFrame, *others: DataFrame) -> None:
+    """Cubes that are joined cell by cell must have the same lines, bands and samples."""
+    shapes = [shape_of(c) for c in (first, *others)]
+    if len(set(shapes)) > 1:
+        raise ValueError(f"cubes differ in lines, bands or samples: {shapes}")
+
+
+def mask_level1(level1: DataFrame, mask: DataFrame, method: DataFrame | None = None, flags: int = 127, methods: int | None = None, check: bool = True) -> DataFrame:
+    """Level-1 values (line, band, sample, value) joined with their mask and bad-pixel method, and masked."""
+    if check:
+        check_shapes(level1, mask, *([] if method is None else [method]))
+    cell = ["line", "band", "sample"]
+    cells = level1.join(mask.select(*cell, "mask"), cell)
+    if method is not None:
+        cells = cells.join(method.select(*cell, "method"), cell)
+    return apply_mask(cells, flags, methods if method is not None else None)
+
+
+def check_integration(raw_ms: float, dark_ms: float) -> None:
+    """A4: dark frames must have the integration time of the raw ones."""
+    if raw_ms != dark_ms:
+        raise ValueError(f"raw lines were integrated for {raw_ms} ms, dark ones for {dark_ms} ms")
+
+
+def output_dimensions(lines: DataFrame, lower: int, upper: int, gaps: bool = True, by: str = "flight") -> DataFrame:
+    """Lines and samples of each flight's product: its lines, with the missing ones if gaps are filled, and upper - lower + 1 samples."""
+    own = frame_deltas(lines, by).groupBy(by).agg(F.count("*").alias("own"), F.coalesce(F.sum(F.when(F.col("delta") > 1, F.col("delta") - 1)), F.lit(0)).alias("missing"))
+    return own.select(by, (F.col("own") + (F.col("missing") if gaps else 0)).cast("long").alias("lines"), F.lit(upper - lower + 1).cast("long").alias("samples"))
+
+
 def apply_mask(cells: DataFrame, flags: int = 127, methods: int | None = None) -> DataFrame:
     """P8, J1 over cells that carry mask and, if methods is given, method: cells with a chosen bit become 0.
 
@@ -296,9 +351,30 @@ def calibrate(cells: DataFrame, dark: DataFrame | None, gains: DataFrame | None,
     """The kernel in its fixed order: flags, dark, smear, gains, flips. A step without its table is left out (P10)."""
     cells = flag_pixels(cells, dark, raw_max, bad, qc, eagle)
     if dark is not None:
-        cells = remove_dark(cells, dark)
+        cells = remove_dark(cells, dark, raw_max)
     if smear is not None:
         cells = smear_correct(cells, smear)
     if gains is not None:
         cells = apply_gains(cells, gains, integration_ms)
     return flip(cells, flip_axis, size) if flip_axis else cells
+
+
+def sensor_of(sensor_id: int) -> Sensor:
+    """An unknown sensor is an error."""
+    if sensor_id not in SENSORS:
+        raise ValueError(f"sensor {sensor_id} is not known")
+    return SENSORS[sensor_id]
+
+
+def calibrate_sensor(cells: DataFrame, sensor_id: int, dark: DataFrame | None, gains: DataFrame | None, integration_ms: float, size: int, bad: DataFrame | None = None, qc: DataFrame | None = None, part: str | None = None, spectral_binning: int = 1, spatial_binning: int = 1) -> DataFrame:
+    """The kernel as a sensor needs it: its largest raw value, smear on Eagle only, bad pixels on the others only (S23), its flip.
+
+    part: vnir or swir for one detector of a Fenix, whose cubes are calibrated each and joined afterwards.
+    """
+    sensor = sensor_of(sensor_id)
+    if (sensor.family == "fenix") != (part is not None):
+        raise ValueError("a Fenix is calibrated by its parts, other sensors are whole")
+    raw_max = fenix_raw_max(part, spatial_binning) if part else sensor.raw_max
+    smear = smear_factor(integration_ms, spectral_binning) if sensor.eagle else None
+    axis = {"bands": "band", "samples": "sample", "": ""}[sensor.flip]
+    return calibrate(cells, dark, gains, raw_max, integration_ms, None if sensor.eagle else bad, qc, sensor.eagle, smear, axis, size)

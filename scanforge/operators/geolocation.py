@@ -89,7 +89,9 @@ def slope_aspect(dem: DataFrame, xspace: float, yspace: float, top: float) -> Da
 
 
 def height_at(points: DataFrame, dem: DataFrame, left: float, top: float, xspace: float, yspace: float) -> DataFrame:
-    """Points (lon, lat) with the height of their cell; null outside."""
+    """Points (lon, lat) with the height of their cell; null outside. A cell without height is an error."""
+    height = F.when(F.col("h").isNull(), F.raise_error(F.lit("the elevation model has a cell without height")).cast("double")).otherwise(F.col("h"))
+    dem = dem.select("r", "c", height.alias("h"))
     row, col = F.floor((F.lit(top) - F.col("lat")) / yspace + 0.01).cast("long"), F.floor((F.col("lon") - left) / xspace + 0.01).cast("long")
     return points.withColumns({"r": row, "c": col}).join(dem, ["r", "c"], "left")
 

@@ -116,25 +116,25 @@ def spline(scans: DataFrame, nav: DataFrame) -> DataFrame:
     def fit(key: tuple, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         points, at = points.sort_values("time"), asked["time"].to_numpy()
         t = points["time"].to_numpy()
-        out = {"flight": [key[0]] * len(at), "time": at}
-        for name in FIELDS:
-            y = points[name].to_numpy()
-            if name == "heading":
-                y = np.degrees(np.unwrap(np.radians(y)))
-            value = natural_spline(t, y, at) if len(t) > 1 else np.full(len(at), np.nan)
-            out[name] = value % 360 if name == "heading" else value
-        return pd.DataFrame(out)
+        y = points[FIELDS].to_numpy(float).copy()
+        turning = FIELDS.index("heading")
+        y[:, turning] = np.degrees(np.unwrap(np.radians(y[:, turning])))
+        value = natural_spline(t, y, at) if len(t) > 1 else np.full((len(at), len(FIELDS)), np.nan)
+        value[:, turning] %= 360
+        return pd.DataFrame({"flight": [key[0]] * len(at), "time": at} | {name: value[:, k] for k, name in enumerate(FIELDS)})
 
     return nav.select("flight", "time", *FIELDS).groupBy("flight").cogroup(scans.select("flight", "time").groupBy("flight")).applyInPandas(fit, schema)
 
 
 def natural_spline(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Values at `at`, not a number outside [t0, tn]."""
+    """Values at `at`, not a number outside [t0, tn]; columns of y are fields, solved together."""
+    if y.ndim == 1:
+        return natural_spline(t, y[:, None], at)[:, 0]
     n, h = len(t), np.diff(t)
-    second = np.zeros(n)
+    second = np.zeros(y.shape)
     if n > 2:
-        rise = np.diff(y) / h
-        diagonal, right = 2 * (h[:-1] + h[1:]), 6 * np.diff(rise)
+        rise = np.diff(y, axis=0) / h[:, None]
+        diagonal, right = 2 * (h[:-1] + h[1:]), 6 * np.diff(rise, axis=0)
         for i in range(1, n - 2):  # Thomas algorithm
             w = h[i] / diagonal[i - 1]
             diagonal[i] -= w * h[i]
@@ -142,9 +142,9 @@ def natural_spline(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         for i in range(n - 3, -1, -1):
             second[i + 1] = (right[i] - h[i + 1] * second[i + 2]) / diagonal[i]
     i = np.clip(np.searchsorted(t, at, side="left") - 1, 0, n - 2)
-    a, b = (t[i + 1] - at) / h[i], (at - t[i]) / h[i]
-    value = a * y[i] + b * y[i + 1] + ((a**3 - a) * second[i] + (b**3 - b) * second[i + 1]) * h[i] ** 2 / 6
-    return np.where((at >= t[0]) & (at <= t[-1]), value, np.nan)
+    a, b = ((t[i + 1] - at) / h[i])[:, None], ((at - t[i]) / h[i])[:, None]
+    value = a * y[i] + b * y[i + 1] + ((a**3 - a) * second[i] + (b**3 - b) * second[i + 1]) * h[i, None] ** 2 / 6
+    return np.where(((at >= t[0]) & (at <= t[-1]))[:, None], value, np.nan)
 
 
 INTERPOLATORS = {"linear": interpolate, "spline": spline}

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import geodesy as g
+
 CELL = ["row", "col"]
 QUADRANTS = ["UL", "UR", "BL", "BR"]
 
@@ -51,12 +53,26 @@ def grid_of(min_x: float, min_y: float, max_x: float, max_y: float, x_size: floa
     return Grid(left, top, x_size, y_size, math.ceil(abs(top - min_y) / y_size), math.ceil(abs(max_x - left) / x_size))
 
 
+def array_limits(points: DataFrame, columns: tuple[str, ...] = ("x", "y"), sentinel: float | None = None) -> DataFrame:
+    """min_ and max_ of columns, nulls and the sentinel left out."""
+    value = lambda c: F.col(c) if sentinel is None else F.when(F.col(c) != sentinel, F.col(c))
+    return points.agg(*[f(value(c)).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+
+
 def extent(points: DataFrame) -> tuple[float, float, float, float] | None:
-    """The limits of x and y, nulls left out."""
-    r = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    """The limits of x and y, for a grid: min x, min y, max x, max y."""
+    r = array_limits(points).select("min_x", "min_y", "max_x", "max_y").first()
     return None if r is None or r[0] is None else tuple(r)
 
 
+def sized_area(min_x: float, max_x: float, min_y: float, max_y: float, rows: int, cols: int) -> Grid:
+    """P4 with rows and columns given: the grid whose pixel size follows from them; an error if that does not fit the area."""
+    x_size, y_size = (max_x - min_x) / cols, (max_y - min_y) / rows
+    if math.ceil((max_x - min_x) / x_size) != cols or math.ceil((max_y - min_y) / y_size) != rows:
+        raise ValueError("the area's sides are no whole number of pixels")
+    return Grid(min_x, max_y, x_size, y_size, rows, cols)
+
+
 def select_area(points: DataFrame, min_x: float, max_x: float, min_y: float, max_y: float) -> DataFrame:
     """Points strictly inside; P6: points without position are dropped."""
     x, y = F.col("x"), F.col("y")
@@ -81,18 +97,52 @@ def pixel_sizes(points: DataFrame, sample: int) -> DataFrame:
     )
 
 
-def near_points(cells: DataFrame, points: DataFrame, radius: float, wrap_degrees: bool = False) -> DataFrame:
-    """Cells (row, col, cx, cy) with all points within radius, and d2, dx, dy. wrap_degrees: x is a longitude."""
-    if wrap_degrees:
-        edge = F.array(F.lit(0.0), *[F.when(c, v) for c, v in ((F.col("x") > 180 - radius, F.lit(-360.0)), (F.col("x") < radius - 180, F.lit(360.0)))])
-        points = points.withColumn("_move", F.explode(F.array_compact(edge))).withColumn("x", F.col("x") + F.col("_move")).drop("_move")
+def mean_separation(points: DataFrame, sample: int) -> DataFrame:
+    """By flight the mean steps in metres along and across track at one sample, of points in degrees (x: longitude, y: latitude)."""
+    own = Window.partitionBy("flight").orderBy("line")
+    at = points.filter(F.col("sample").isin(sample, sample + 1)).groupBy("flight", "line").agg(*[F.max(F.when(F.col("sample") == s, F.col(c))).alias(f"{c}{i}") for i, s in enumerate((sample, sample + 1)) for c in "xy"])
+    at = at.withColumns({"px": F.lag("x0").over(own), "py": F.lag("y0").over(own)})
+    flat = F.lit(0.0)
+    along, across = (g.geodesic_inverse(*to, flat, *start, flat)[0] for to, start in (((F.col("x0"), F.col("y0")), (F.col("px"), F.col("py"))), ((F.col("x1"), F.col("y1")), (F.col("x0"), F.col("y0")))))
+    steps = F.count("*") - 1
+    return at.groupBy("flight").agg((F.sum(along) / steps).alias("along"), (F.sum(F.when(F.col("px").isNotNull(), across)) / steps).alias("across"))
+
+
+def default_radius(along: float, across: float) -> float:
+    """How far a search goes if the user does not say: three times the diagonal of a mean pixel, in its units."""
+    return 3 * math.hypot(along, across)
+
+
+def near_points(cells: DataFrame, points: DataFrame, radius: float, geodesic: bool = False) -> DataFrame:
+    """Cells (row, col, cx, cy) with all points within radius, and d2, dx, dy.
+
+    geodesic: x and y are degrees of longitude and latitude and radius is in metres. Points and cells then
+    lie in cubes of the earth-centred frame, where neither the date line nor a pole is special (J17);
+    d2 is the squared chord, and dx is the shorter way round.
+    """
+    found_x, found_y = F.col("x"), F.col("y")
+    held = points.filter("x IS NOT NULL AND y IS NOT NULL")
+    if geodesic:
+        frame = lambda x, y: g.llh_to_ecef(y, x, F.lit(0.0))
+        held = held.withColumns({f"_p{i}": c for i, c in enumerate(frame(found_x, found_y))})
+        asked = cells.withColumns({f"_c{i}": c for i, c in enumerate(frame(F.col("cx"), F.col("cy")))})
+        axes = 3
+    else:
+        held = held.withColumns({"_p0": found_x, "_p1": found_y})
+        asked = cells.withColumns({"_c0": F.col("cx"), "_c1": F.col("cy")})
+        axes = 2
     bucket = lambda c: F.floor(F.col(c) / radius).cast("long")
-    held = points.filter("x IS NOT NULL AND y IS NOT NULL").withColumns({"bx": bucket("x"), "by": bucket("y")})
-    around = F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((F.col("_bx") + i % 3 - 1).alias("bx"), (F.col("_by") + F.floor(i / 3) - 1).cast("long").alias("by"))))
-    asked = cells.withColumns({"_bx": bucket("cx"), "_by": bucket("cy")}).withColumn("b", around).select(*cells.columns, "b.bx", "b.by")
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    found = asked.join(held, ["bx", "by"]).withColumns({"dx": dx, "dy": dy, "d2": dx * dx + dy * dy}).filter(F.col("d2") <= radius * radius)
-    return found.drop("bx", "by")
+    keys = [f"_b{i}" for i in range(axes)]
+    held = held.withColumns({k: bucket(f"_p{i}") for i, k in enumerate(keys)})
+    steps = lambda i, n: (F.floor(n / 3**i) % 3 - 1).cast("long")
+    around = F.transform(F.sequence(F.lit(0), F.lit(3**axes - 1)), lambda n: F.struct(*[(bucket(f"_c{i}") + steps(i, n)).alias(k) for i, k in enumerate(keys)]))
+    asked = asked.withColumn("_b", F.explode(around)).select(*asked.columns, "_b.*")
+    dx, dy = found_x - F.col("cx"), found_y - F.col("cy")
+    if geodesic:
+        dx = F.pmod(dx + 180, F.lit(360.0)) - 180
+    d2 = sum(((F.col(f"_p{i}") - F.col(f"_c{i}")) ** 2 for i in range(1, axes)), (F.col("_p0") - F.col("_c0")) ** 2)
+    found = asked.join(held, keys).withColumns({"dx": dx, "dy": dy, "d2": d2}).filter(F.col("d2") <= radius * radius)
+    return found.drop(*keys, *[f"_{k}{i}" for k in "pc" for i in range(axes)])
 
 
 def nearest(cells: DataFrame, points: DataFrame, k: int, radius: float, by: list[str] | None = None, **more) -> DataFrame:
@@ -121,15 +171,37 @@ def with_values(points: DataFrame, level1: DataFrame, bands: list[int] | None =
     return points.join(values, ["line", "sample"])
 
 
-def map_nearest(cells: DataFrame, points: DataFrame, level1: DataFrame, radius: float, ignore: float | None = None, bands: list[int] | None = None) -> DataFrame:
+def nearest_values(cells: DataFrame, points: DataFrame, level1: DataFrame, k: int, radius: float, ignore: float | None = None, bands: list[int] | None = None, **more) -> DataFrame:
+    """Per cell and band the k nearest points whose value is not the ignored one, with value and rank.
+
+    Positions are searched once for all bands. Only cells with an ignored value among their k nearest
+    are searched again, for all points within the radius, and only their bands concerned are joined.
+    """
+    values = with_values(points.select("line", "sample"), level1, bands)
+    own = ["line", "sample"]
+    near = nearest(cells, points, k, radius, **more)
+    valued = near.join(values, own)
+    if ignore is None:
+        return valued
+    band = Window.partitionBy(*CELL, "band")
+    valued = valued.withColumn("_holes", F.max((F.col("value") == ignore).cast("int")).over(band))
+    whole = valued.filter("_holes = 0").drop("_holes")
+    short = valued.filter("_holes = 1").select(*CELL, "band").distinct()
+    again = near_points(cells.join(short.select(*CELL).distinct(), CELL, "left_semi"), points, radius, **more)
+    again = again.join(values.filter(F.col("value") != ignore), own).join(short, [*CELL, "band"], "left_semi")
+    again = again.withColumn("rank", F.row_number().over(band.orderBy("d2", "line", "sample"))).filter(F.col("rank") <= k)
+    return whole.unionByName(again.select(whole.columns))
+
+
+def map_nearest(cells: DataFrame, points: DataFrame, level1: DataFrame, radius: float, ignore: float | None = None, bands: list[int] | None = None, **more) -> DataFrame:
     """Per cell and band the nearest point's value, with src_line and src_sample."""
-    near = nearest(cells, with_values(points, level1, bands, ignore), 1, radius, ["band"])
+    near = nearest_values(cells, points, level1, 1, radius, ignore, bands, **more)
     return near.select(*CELL, "band", "value", F.col("line").alias("src_line"), F.col("sample").alias("src_sample"))
 
 
-def map_idw(cells: DataFrame, points: DataFrame, level1: DataFrame, k: int, radius: float, ignore: float | None = None, bands: list[int] | None = None) -> DataFrame:
+def map_idw(cells: DataFrame, points: DataFrame, level1: DataFrame, k: int, radius: float, ignore: float | None = None, bands: list[int] | None = None, **more) -> DataFrame:
     """Inverse squared distances over the k nearest; a point on the centre gives its value."""
-    near = nearest(cells, with_values(points, level1, bands, ignore), k, radius, ["band"])
+    near = nearest_values(cells, points, level1, k, radius, ignore, bands, **more)
     exact = [F.min_by("value", "rank").alias("first"), F.min("d2").alias("least")]
     far = F.when(F.col("d2") > 0, 1 / F.col("d2"))
     out = near.groupBy(*CELL, "band").agg(F.sum(F.col("value") * far).alias("top"), F.sum(far).alias("weight"), *exact)

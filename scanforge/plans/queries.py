@@ -14,6 +14,7 @@ from ..operators import calibration as cal
 from ..operators import geolocation as geo
 from ..operators import navigation as nv
 from ..operators import resampling as rs
+from ..sources import envi
 from . import inputs as i
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +60,7 @@ def dark_refined_a3(spark, sf):
 
 
 # --- the calibration kernel ----------------------------------------------------------------------
-FLAGGED = DARK_MEAN + f""", bad AS (SELECT DISTINCT p_size AS band, p_partkey % 16 AS sample FROM part WHERE p_partkey % 37 = 0), qc AS (SELECT DISTINCT s_nationkey + 20 AS band, s_suppkey % 16 AS sample FROM supplier WHERE s_suppkey % 11 = 0), f0 AS (
+FLAGGED = DARK_MEAN + f""", bad AS (SELECT DISTINCT p_partkey % 997 AS band, p_partkey % 16 AS sample FROM part), qc AS (SELECT DISTINCT s_suppkey * 7 % 97 + 20 AS band, s_suppkey % 16 AS sample FROM supplier), f0 AS (
   SELECT c.line, c.sample, c.band, c.value, d.mean, c.band = 0 AND c.sample IN (0, 1) AS counter, c.value = {RAW_MAX} AS over, d.mean IS NOT NULL AND c.value <= d.mean AS under
   FROM cells c LEFT JOIN dm d USING (band, sample)
 ), f1 AS (
@@ -72,13 +73,13 @@ FLAGGED = DARK_MEAN + f""", bad AS (SELECT DISTINCT p_size AS band, p_partkey %
 
 
 def bad_pixels(spark, sf):
-    p = i.table(spark, sf, "part").filter("p_partkey % 37 = 0")
-    return p.select(F.col("p_size").cast("long").alias("band"), (F.col("p_partkey") % 16).alias("sample"))
+    p = i.table(spark, sf, "part")
+    return p.select((F.col("p_partkey") % 997).alias("band"), (F.col("p_partkey") % 16).alias("sample"))
 
 
 def qc_pixels(spark, sf):
-    s = i.table(spark, sf, "supplier").filter("s_suppkey % 11 = 0")
-    return s.select((F.col("s_nationkey") + 20).cast("long").alias("band"), (F.col("s_suppkey") % 16).alias("sample"))
+    s = i.table(spark, sf, "supplier")
+    return s.select((F.col("s_suppkey") * 7 % 97 + 20).alias("band"), (F.col("s_suppkey") % 16).alias("sample"))
 
 
 def flagged(spark, sf):
@@ -136,11 +137,11 @@ def wavelength_bin_a8(spark, sf):
     return rounded(cal.bin_wavelengths(waves(spark), 4))
 
 
-@query("""WITH raw AS (SELECT p_partkey AS band, p_retailprice AS wavelength FROM part), c AS (SELECT p_partkey AS cal_band, p_retailprice + (p_partkey % 3) * 0.004::DOUBLE AS w FROM part WHERE p_partkey % 2 = 0)
+@query("""WITH raw AS (SELECT p_partkey AS band, p_retailprice AS wavelength FROM part), c AS (SELECT p_partkey AS cal_band, p_retailprice + (p_partkey % 3) * 0.004::DOUBLE AS w FROM part)
 SELECT band, min(cal_band) AS cal_band FROM raw LEFT JOIN c ON abs(wavelength - w) <= 0.006::DOUBLE GROUP BY band""")
 def wavelength_match_j6(spark, sf):
     p = i.table(spark, sf, "part")
-    cal_side = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("band"), (F.col("p_retailprice") + (F.col("p_partkey") % 3) * 0.004).alias("wavelength"))
+    cal_side = p.select(F.col("p_partkey").alias("band"), (F.col("p_retailprice") + (F.col("p_partkey") % 3) * 0.004).alias("wavelength"))
     return cal.match_wavelengths(p.select(F.col("p_partkey").alias("band"), F.col("p_retailprice").alias("wavelength")), cal_side)
 
 
@@ -225,11 +226,11 @@ def dropped_scans_a18(spark, sf):
     return cal.dropped_scans(i.cells(spark, sf).withColumn("mask", F.when(F.col("line") % 5 == 2, 17).otherwise(1)))
 
 
-LINES = """lines AS (SELECT o_custkey % 50 AS flight, o_orderkey AS line, o_orderkey % 65536 AS frame FROM orders WHERE o_orderkey % 7 <> 0)"""
+LINES = """lines AS (SELECT o_orderkey // 5000 AS flight, o_orderkey AS line, (o_orderkey % 5000 + 63000) % 65536 AS frame FROM orders WHERE o_orderkey % 7 <> 0)"""
 
 
 def lines(spark, sf):
-    return i.table(spark, sf, "orders").filter("o_orderkey % 7 <> 0").select((F.col("o_custkey") % 50).alias("flight"), F.col("o_orderkey").alias("line"), (F.col("o_orderkey") % 65536).alias("frame"))
+    return i.table(spark, sf, "orders").filter("o_orderkey % 7 <> 0").select(F.floor(F.col("o_orderkey") / 5000).cast("long").alias("flight"), F.col("o_orderkey").alias("line"), ((F.col("o_orderkey") % 5000 + 63000) % 65536).alias("frame"))
 
 
 DELTAS = LINES + """, d0 AS (SELECT *, frame - lag(frame) OVER (PARTITION BY flight ORDER BY line) AS step FROM lines),
@@ -328,10 +329,10 @@ def nearest_sync_j9(spark, sf):
     return nv.nearest_sync(start, nav.select("flight", F.col("event_id").alias("seq"), F.floor("time").cast("double").alias("gps")))
 
 
-@query("""WITH sy AS (SELECT o_custkey % 20 AS flight, o_orderkey * 10 AS frame, o_orderkey % 997 AS gps FROM orders WHERE o_orderkey % 4 = 0), f AS (SELECT DISTINCT l_suppkey % 20 AS flight, l_orderkey * 10 + 3 AS frame FROM lineitem)
+@query("""WITH sy AS (SELECT o_custkey % 20 AS flight, o_orderkey * 10 AS frame, o_orderkey % 997 AS gps FROM orders), f AS (SELECT DISTINCT l_suppkey % 20 AS flight, l_orderkey * 10 + 3 AS frame FROM lineitem)
 SELECT f.flight, f.frame, sy.frame AS sync_frame, sy.gps FROM f ASOF LEFT JOIN sy ON f.flight = sy.flight AND f.frame >= sy.frame""")
 def persec_sync_j10(spark, sf):
-    syncs = i.table(spark, sf, "orders").filter("o_orderkey % 4 = 0").select((F.col("o_custkey") % 20).alias("flight"), (F.col("o_orderkey") * 10).alias("frame"), (F.col("o_orderkey") % 997).alias("gps"))
+    syncs = i.table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("flight"), (F.col("o_orderkey") * 10).alias("frame"), (F.col("o_orderkey") % 997).alias("gps"))
     frames = i.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("flight"), (F.col("l_orderkey") * 10 + 3).alias("frame")).distinct()
     return nv.sync_of_frames(frames, syncs)
 
@@ -438,24 +439,26 @@ def boresight_f16(spark, sf):
     return nv.boresight(llh(spark, sf), 0.25, -0.125, 1.5).select("id", "roll", "pitch", "heading")
 
 
-EEP = (2 / g.FLATTENING - 1) / ((1 / g.FLATTENING - 1) ** 2)
+def inverse_sql(keys: str, lon1: str, lat1: str, h1: str, lon2: str, lat2: str, h2: str, source: str) -> str:
+    """CTEs up to `inverse` (keys, distance, azimuth, zenith): the published solution for short lines."""
+    return f""", i0 AS (SELECT {keys}, radians({lat2}) AS phi, radians(({lat1}) - ({lat2})) AS north, radians(({lon1}) - ({lon2})) AS east, ({h2}) - ({h1}) AS rise, {g.EE2!r}::DOUBLE AS e2 FROM {source}),
+i1 AS (SELECT *, sqrt(1 + e2 * pow(cos(phi), 4)) AS a, sqrt(1 + e2 * pow(cos(phi), 2)) AS b FROM i0), i2 AS (SELECT *, a * east / 2 AS w, north / (2 * b) * (1 + 3 * e2 / (4 * b * b) * north * sin(2 * phi + 2 * north / 3)) AS d FROM i1),
+i3 AS (SELECT *, sin(d) * cos(w) AS e, sin(w) * (b * cos(phi) * cos(d) - sin(phi) * sin(d)) / a AS f, atan((sin(phi) + b * cos(phi) * tan(d)) * tan(w) / a) AS h FROM i2),
+i4 AS (SELECT *, degrees(atan2(f, e) - h) AS az, {g.A!r}::DOUBLE * sqrt(1 + e2) * 2 * asin(sqrt(e * e + f * f)) / (b * b) AS s FROM i3),
+inverse AS (SELECT {keys}, sqrt(s * s + rise * rise) AS distance, CASE WHEN az < 0 THEN az + 360 ELSE az END AS azimuth, CASE WHEN rise = 0 THEN 90 ELSE 180 - degrees(atan(s / rise)) END AS zenith FROM i4)"""
 
 
-@query("WITH " + LLH + f""", p AS (SELECT id, radians(lat + 0.01) AS p1, radians(lat) AS p2, radians(lon + 0.02) - radians(lon) AS dl, hei AS h1, -50::DOUBLE AS h2, {EEP!r}::DOUBLE AS e2 FROM llh),
-p1 AS (SELECT *, p1 - p2 AS dphi, sqrt(1 + e2 * pow(cos(p2), 4)) AS a, sqrt(1 + e2 * pow(cos(p2), 2)) AS b FROM p), p2 AS (SELECT *, 0.5 * a * dl AS w, dphi / (2 * b) * (1 + 3 * e2 * dphi * sin(2 * p2 + 2 * dphi / 3) / (4 * b * b)) AS d FROM p1),
-p3 AS (SELECT *, sin(d) * cos(w) AS e, 1 / a * sin(w) * (b * cos(p2) * cos(d) - sin(p2) * sin(d)) AS f, atan(1 / a * (sin(p2) + b * cos(p2) * tan(d)) * tan(w)) AS h FROM p2),
-p4 AS (SELECT *, degrees(atan2(f, e) - h) AS az, {g.A!r}::DOUBLE * {math.sqrt(1 + EEP)!r}::DOUBLE * 2 * asin(sqrt(e * e + f * f)) / (b * b) AS s FROM p3)
-SELECT id, round(sqrt(s * s + (h2 - h1) * (h2 - h1)), 4) AS distance, round(CASE WHEN az < 0 THEN az + 360 ELSE az END, 5) AS azimuth, round(CASE WHEN h2 = h1 THEN 90 ELSE 180 - degrees(atan(s / (h2 - h1))) END, 5) AS zenith FROM p4""")
+@query("WITH " + LLH + inverse_sql("id", "lon + 0.02", "lat + 0.01", "hei", "lon", "lat", "-50::DOUBLE", "llh") + " SELECT id, round(distance, 4) AS distance, round(azimuth, 5) AS azimuth, round(zenith, 5) AS zenith FROM inverse")
 def geodesic_inverse_f5(spark, sf):
     lon, lat = F.col("lon"), F.col("lat")
     d, az, ze = g.geodesic_inverse(lon + 0.02, lat + 0.01, F.col("hei"), lon, lat, F.lit(-50.0))
     return llh(spark, sf).select("id", F.round(d, 4).alias("distance"), F.round(az, 5).alias("azimuth"), F.round(ze, 5).alias("zenith"))
 
 
-@query("WITH " + LLH + f""", p AS (SELECT id, radians(lat) AS p, radians(lon) AS l, radians(heading) AS az, {EEP!r}::DOUBLE AS e2, sqrt(1 + {EEP!r}::DOUBLE * pow(cos(radians(lat)), 4)) AS a, sqrt(1 + {EEP!r}::DOUBLE * pow(cos(radians(lat)), 2)) AS b FROM llh),
-p1 AS (SELECT *, 5000::DOUBLE * b * b / ({g.A!r}::DOUBLE * {math.sqrt(1 + EEP)!r}::DOUBLE) AS sg FROM p), p2 AS (SELECT *, l + atan(a * tan(sg) * sin(az) / (b * cos(p) - tan(sg) * sin(p) * cos(az))) / a AS l2 FROM p1),
-p3 AS (SELECT *, 0.5 * asin(sin(sg) * (cos(az) - sin(p) * sin(az) * tan(0.5 * a * (l2 - l)) / a)) AS d FROM p2)
-SELECT id, round(degrees(l2), 8) AS lon, round(degrees(p + 2 * d * (b - 1.5 * e2 * d * sin(2 * p + 4 * b * d / 3))), 8) AS lat FROM p3""")
+@query("WITH " + LLH + f""", d0 AS (SELECT id, lon, lat, radians(lat) AS phi, radians(heading) AS az, {g.EE2!r}::DOUBLE AS e2 FROM llh), d1 AS (SELECT *, sqrt(1 + e2 * pow(cos(phi), 4)) AS a, sqrt(1 + e2 * pow(cos(phi), 2)) AS b FROM d0),
+d2 AS (SELECT *, 5000::DOUBLE * b * b / ({g.A!r}::DOUBLE * sqrt(1 + e2)) AS arc FROM d1), d3 AS (SELECT *, atan(a * tan(arc) * sin(az) / (b * cos(phi) - tan(arc) * sin(phi) * cos(az))) / a AS east FROM d2),
+d4 AS (SELECT *, 0.5 * asin(sin(arc) * (cos(az) - sin(phi) * sin(az) * tan(0.5 * a * east) / a)) AS d FROM d3)
+SELECT id, round(lon + degrees(east), 8) AS lon, round(lat + degrees(2 * d * (b - 1.5 * e2 * d * sin(2 * phi + 4 * b * d / 3))), 8) AS lat FROM d4""")
 def geodesic_direct_f7(spark, sf):
     lon, lat = g.geodesic_direct(F.col("lon"), F.col("lat"), F.lit(5000.0), F.col("heading"))
     return llh(spark, sf).select("id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
@@ -486,7 +489,7 @@ GRID = rs.Grid(i.LEFT, i.TOP, i.SIZE, i.SIZE, i.ROWS, i.COLS)
 
 @query("WITH " + i.POINTS + " SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points")
 def array_limits_a11(spark, sf):
-    return i.points(spark, sf).agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+    return rs.array_limits(i.points(spark, sf), ("x", "y", "z"))
 
 
 @query("WITH " + i.POINTS + """, s AS (SELECT line, max(x) FILTER (sample = 20) AS x0, max(y) FILTER (sample = 20) AS y0, max(x) FILTER (sample = 21) AS x1, max(y) FILTER (sample = 21) AS y1 FROM points WHERE sample IN (20, 21) GROUP BY line),
@@ -519,8 +522,7 @@ def quad_knn_j14(spark, sf):
 
 @query("WITH " + LEVEL + " SELECT row, col, band, k::INTEGER AS rank, line, sample FROM ranked WHERE k <= 3")
 def knn_ignore_j15(spark, sf):
-    points = rs.with_values(i.points(spark, sf), i.level1(spark, sf), ignore=0.0)
-    return rs.nearest(GRID.cells(spark), points, 3, i.RADIUS, ["band"]).select("row", "col", "band", "rank", "line", "sample")
+    return rs.nearest_values(GRID.cells(spark), i.points(spark, sf), i.level1(spark, sf), 3, i.RADIUS, 0.0).select("row", "col", "band", "rank", "line", "sample")
 
 
 @query("WITH " + LEVEL + " SELECT row, col, band, value FROM ranked WHERE k = 1")
@@ -538,19 +540,30 @@ def map_idw_r2(spark, sf):
     return rounded(rs.map_idw(GRID.cells(spark), i.points(spark, sf), i.level1(spark, sf), 5, i.RADIUS, 0.0))
 
 
-@query("WITH " + QUAD.format(k=1) + """, c AS (SELECT row, col, any_value(cx) AS px, any_value(cy) AS py, max(x) FILTER (quadrant = 0) AS ax, max(y) FILTER (quadrant = 0) AS ay, max(x) FILTER (quadrant = 1) AS bx, max(y) FILTER (quadrant = 1) AS by, max(x) FILTER (quadrant = 2) AS cx, max(y) FILTER (quadrant = 2) AS cy, max(x) FILTER (quadrant = 3) AS dx, max(y) FILTER (quadrant = 3) AS dy FROM quad GROUP BY row, col)
-SELECT row, col, 0 AS band, round(0.25 * px + 0.5 * py + 10, 4) AS value FROM c""")
+def uv_sql(source: str) -> str:
+    """CTEs from rows with x0..x3, y0..y3 (UL, UR, BL, BR), px and py to `inside`, those with u and v in the unit square."""
+    ok = lambda c: f"({c} >= -1e-9 AND {c} <= 1 + 1e-9)"
+    return f""", v0 AS (SELECT *, x1 - x0 AS ex, y1 - y0 AS ey, x2 - x0 AS fx, y2 - y0 AS fy, x0 - x1 - x2 + x3 AS gx, y0 - y1 - y2 + y3 AS gy, px - x0 AS hx, py - y0 AS hy FROM {source}),
+v1 AS (SELECT *, gx * fy - gy * fx AS k2, ex * fy - ey * fx + hx * gy - hy * gx AS k1, hx * ey - hy * ex AS k0 FROM v0), v2 AS (SELECT *, sqrt(greatest(k1 * k1 - 4 * k0 * k2, 0)) AS root FROM v1), v3 AS (SELECT *, -0.5 * (k1 + CASE WHEN k1 < 0 THEN -root ELSE root END) AS q FROM v2),
+v4 AS (SELECT *, CASE WHEN abs(k2) < 1e-12 * (abs(k1) + abs(k0) + 1e-300) THEN -k0 / k1 WHEN {ok("k0 / q")} THEN k0 / q WHEN {ok("q / k2")} THEN q / k2 END AS v FROM v3),
+v5 AS (SELECT *, CASE WHEN abs(ex + gx * v) >= abs(ey + gy * v) THEN (hx - fx * v) / (ex + gx * v) ELSE (hy - fy * v) / (ey + gy * v) END AS u FROM v4), inside AS (SELECT * FROM v5 WHERE {ok("u")} AND {ok("v")})"""
+
+
+CORNERS = ", ".join(f"max({c}) FILTER ({{key}} = {k}) AS {n}{k}" for k in range(4) for c, n in (("x", "x"), ("y", "y"), ("line", "l"), ("sample", "s")))
+WEIGHTS = "[(1 - v) * (1 - u), (1 - v) * u, v * (1 - u), v * u]"
+
+
+@query("WITH " + QUAD.format(k=1) + ", " + i.LEVEL1 + ", c AS (SELECT row, col, any_value(cx) AS px, any_value(cy) AS py, " + CORNERS.format(key="quadrant") + " FROM quad GROUP BY row, col)" + uv_sql("c") + f""",
+w AS (SELECT row, col, unnest([l0, l1, l2, l3]) AS line, unnest([s0, s1, s2, s3]) AS sample, unnest({WEIGHTS}) AS w FROM inside) SELECT row, col, band, round(sum(w * value), 6) AS value FROM w JOIN level1 USING (line, sample) GROUP BY row, col, band HAVING count(*) = 4""")
 def map_bilinear_r3(spark, sf):
-    # A linear field comes back exactly, whatever the quadrilateral.
-    points = i.points(spark, sf)
-    field = points.select("line", "sample", F.lit(0).alias("band"), (0.25 * F.col("x") + 0.5 * F.col("y") + 10).alias("value"))
-    return rounded(rs.map_bilinear(GRID.cells(spark), points, field, i.RADIUS), 4)
+    return rounded(rs.map_bilinear(GRID.cells(spark), i.points(spark, sf), i.level1(spark, sf), i.RADIUS))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, floor(l_extendedprice + 0.5)::INTEGER AS rounded, trunc(l_extendedprice)::INTEGER AS truncated FROM lineitem")
 def narrow_cast_k2(spark, sf):
     item = i.table(spark, sf, "lineitem")
-    return item.select("l_orderkey", "l_linenumber", "l_partkey", F.floor(F.col("l_extendedprice") + 0.5).cast("int").alias("rounded"), F.col("l_extendedprice").cast("int").alias("truncated"))
+    price = F.col("l_extendedprice")
+    return item.select("l_orderkey", "l_linenumber", "l_partkey", envi.narrow(price, 3).alias("rounded"), envi.narrow(price, 3, round_half=False).alias("truncated"))
 
 
 @query("WITH " + LEVEL + ", b AS (SELECT row, col, b AS band FROM grid, range(3) t(b)) SELECT row, col, band, coalesce(value, -1)::INTEGER AS value FROM b LEFT JOIN (SELECT * FROM ranked WHERE k = 1) USING (row, col, band)")
@@ -560,36 +573,244 @@ def map_pipeline(spark, sf):
     return rs.fill(cells, mapped, [0, 1, 2], -1.0, "int32")
 
 
-@query()
+SPLINE = i.SCANS + """, u0 AS (SELECT *, heading - lag(heading) OVER (PARTITION BY flight ORDER BY time) AS dh, first(heading) OVER (PARTITION BY flight ORDER BY time) AS h0 FROM nav),
+u1 AS (SELECT *, CASE WHEN dh - 360 * floor((dh + 180) / 360) = -180 AND dh > 0 THEN 180 ELSE dh - 360 * floor((dh + 180) / 360) END AS turn FROM u0),
+u2 AS (SELECT flight, time, lat, lon, hei, roll, pitch, h0 + coalesce(sum(turn) OVER (PARTITION BY flight ORDER BY time ROWS UNBOUNDED PRECEDING), 0) AS heading, row_number() OVER (PARTITION BY flight ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY flight) AS n FROM u1),
+f AS (UNPIVOT u2 ON lat, lon, hei, roll, pitch, heading INTO NAME field VALUE y),
+k AS (SELECT *, lead(time) OVER w - time AS h, (lead(y) OVER w - y) / (lead(time) OVER w - time) AS rise FROM f WINDOW w AS (PARTITION BY flight, field ORDER BY i)),
+e AS (SELECT flight, field, i - 1 AS j, n, lag(h) OVER w AS h, h AS hn, 2 * (lag(h) OVER w + h) AS dg, 6 * (rise - lag(rise) OVER w) AS rt FROM k WINDOW w AS (PARTITION BY flight, field ORDER BY i) QUALIFY i > 0 AND i < n - 1),
+fw AS (SELECT flight, field, j, n, hn, dg, rt FROM e WHERE j = 0 UNION ALL SELECT e.flight, e.field, e.j, e.n, e.hn, e.dg - e.h / fw.dg * e.h, e.rt - e.h / fw.dg * fw.rt FROM fw JOIN e ON e.flight = fw.flight AND e.field = fw.field AND e.j = fw.j + 1),
+bw AS (SELECT flight, field, j, rt / dg AS z FROM fw WHERE j = n - 3 UNION ALL SELECT fw.flight, fw.field, fw.j, (fw.rt - fw.hn * bw.z) / fw.dg FROM bw JOIN fw ON fw.flight = bw.flight AND fw.field = bw.field AND fw.j = bw.j - 1),
+sec AS (SELECT k.flight, k.field, k.i, k.n, k.time, k.y, k.h, coalesce(z, 0) AS z FROM k LEFT JOIN bw ON bw.flight = k.flight AND bw.field = k.field AND bw.j = k.i - 1),
+seg AS (SELECT *, lead(y) OVER w AS y1, lead(z) OVER w AS z1, lead(time) OVER w AS t1 FROM sec WINDOW w AS (PARTITION BY flight, field ORDER BY i)),
+asked AS (SELECT s.flight, s.scan, s.time, greatest((SELECT count(*) FROM u2 WHERE u2.flight = s.flight AND u2.time < s.time) - 1, 0) AS i FROM scans s),
+val AS (SELECT a.flight, a.time, a.scan, g.field, (g.t1 - a.time) / g.h AS a, (a.time - g.time) / g.h AS b, g.y, g.y1, g.z, g.z1, g.h FROM asked a JOIN seg g ON g.flight = a.flight AND g.i = a.i),
+res AS (SELECT flight, time, field, a * y + b * y1 + ((a * a * a - a) * z + (b * b * b - b) * z1) * h * h / 6 AS v FROM val), fin AS (SELECT flight, time, field, coalesce(CASE WHEN field = 'heading' THEN v - 360 * floor(v / 360) ELSE v END, 'NaN'::DOUBLE) AS v FROM res)"""
+
+
+@query("WITH RECURSIVE " + SPLINE + " SELECT flight, round(time, 6) AS time, " + ", ".join(f"round(max(v) FILTER (field = '{c}'), 4) AS {c}" for c in nv.FIELDS) + " FROM fin GROUP BY flight, time")
 def spline_w8(spark, sf):
-    return rounded(nv.spline(i.scans(spark, sf), i.nav(spark, sf)))
+    out = nv.spline(i.scans(spark, sf), i.nav(spark, sf))
+    return out.select("flight", F.round("time", 6).alias("time"), *[F.round(c, 4).alias(c) for c in nv.FIELDS])
+
+
+def hermite_sql(keys: str, x: str, at: str, values: dict[str, str], source: str, out: str) -> str:
+    """CTEs from four rows for each of keys to `out`: the cubic Hermite of each of values over x, at a place."""
+    lists = ", ".join(f"list({f} ORDER BY {x}, {f}) AS l_{n}" for n, f in values.items())
 
+    def value(f: str) -> str:
+        m0, m1 = f"CASE WHEN i = 1 THEN 0 ELSE ({f}[i + 1] - {f}[i - 1]) / (xs[i + 1] - xs[i - 1]) END", f"CASE WHEN i = 3 THEN 0 ELSE ({f}[i + 2] - {f}[i]) / (xs[i + 2] - xs[i]) END"
+        return f"(2 * t * t * t - 3 * t * t + 1) * {f}[i] + (t * t * t - 2 * t * t + t) * w * ({m0}) + (3 * t * t - 2 * t * t * t) * {f}[i + 1] + (t * t * t - t * t) * w * ({m1})"
 
-@query()
+    return f""", {out}0 AS (SELECT {keys}, any_value({at}) AS p, list({x} ORDER BY {x}) AS xs, {lists} FROM {source} GROUP BY {keys}), {out}1 AS (SELECT *, greatest(least(len(list_filter(xs, lambda c: c <= p)), 3), 1) AS i FROM {out}0),
+{out}2 AS (SELECT *, xs[i + 1] - xs[i] AS w, greatest(least((p - xs[i]) / (xs[i + 1] - xs[i]), 1), 0) AS t FROM {out}1), {out} AS (SELECT {keys}, {", ".join(f"{value(f'l_{n}')} AS {n}" for n in values)} FROM {out}2)"""
+
+
+FAR_QUAD = QUAD.format(k=4).replace("<= 700", "<= 1500").replace("490000", "2250000")
+
+
+@query("WITH " + FAR_QUAD + ", " + i.LEVEL1 + """, pv AS (SELECT row, col, band, cx, cy, quadrant, x, y, value, row_number() OVER (PARTITION BY row, col, band, quadrant ORDER BY -y, x, value) AS pos FROM quad JOIN level1 USING (line, sample)),
+rw AS (SELECT *, quadrant // 2 * 2 + (pos - 1) // 2 AS part FROM pv QUALIFY count(*) OVER (PARTITION BY row, col, band) = 16)""" + hermite_sql("row, col, band, part, cy", "x", "cx", {"val": "value", "hgt": "y"}, "rw", "ha") + hermite_sql("row, col, band", "hgt", "cy", {"value": "val"}, "ha", "hb") + " SELECT row, col, band, round(value, 6) AS value FROM hb")
 def cubic_r5(spark, sf):
     return rounded(rs.map_cubic(GRID.cells(spark), i.points(spark, sf), i.level1(spark, sf), 1500.0))
 
 
-@query()
+@query("WITH " + NEAR + ", " + i.LEVEL1 + """, n10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d2, line, sample) AS rank FROM near) WHERE rank <= 10),
+qd AS (SELECT row, col, cx, cy, rank * 4 + i AS ord, line - i // 2 AS ql, sample - i % 2 AS qs FROM n10, range(4) t(i)), cr AS (SELECT qd.*, k, p.x, p.y, p.line, p.sample FROM qd, range(4) t(k), points p WHERE p.line = ql + k // 2 AND p.sample = qs + k % 2),
+c AS (SELECT row, col, ord, any_value(cx) AS px, any_value(cy) AS py, """ + CORNERS.format(key="k") + " FROM cr GROUP BY row, col, ord HAVING count(*) = 4)" + uv_sql("c") + f""", best AS (SELECT * FROM inside QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY ord) = 1),
+w AS (SELECT row, col, unnest([l0, l1, l2, l3]) AS line, unnest([s0, s1, s2, s3]) AS sample, unnest({WEIGHTS}) AS w FROM best UNION ALL SELECT row, col, line, sample, 1 FROM n10 WHERE rank = 1 AND NOT EXISTS (SELECT 1 FROM best b WHERE b.row = n10.row AND b.col = n10.col))
+SELECT row, col, band, round(sum(w * value), 6) AS value FROM w JOIN level1 USING (line, sample) GROUP BY row, col, band""")
 def bilinear_lev1_r4(spark, sf):
     return rounded(rs.map_quads(GRID.cells(spark), i.points(spark, sf), i.level1(spark, sf), i.RADIUS))
 
 
-@query()
+def utm_sql() -> str:
+    n = g.FLATTENING / (2 - g.FLATTENING)
+    e, radius = 2 * math.sqrt(n) / (1 + n), g.A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    east, north = (" + ".join(f"{k!r}::DOUBLE * {a}({2 * j} * xi) * {b}({2 * j} * eta)" for j, k in enumerate(series, 1)) for a, b in (("cos", "sinh"), ("sin", "cosh")))
+    return f""", z AS (SELECT id, radians(lat) AS phi, radians(lon - (least(floor((lon + 180) / 6) + 1, 60) * 6 - 183)) AS lam FROM llh), t AS (SELECT *, sinh(atanh(sin(phi)) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(phi))) AS t FROM z),
+x AS (SELECT id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT id, round(500000 + {0.9996 * radius!r}::DOUBLE * (eta + {east}), 3) AS easting, round({0.9996 * radius!r}::DOUBLE * (xi + {north}), 3) AS northing FROM x"""
+
+
+@query("WITH " + LLH + utm_sql())
 def utm_f18(spark, sf):
     x, y = g.utm(F.col("lat"), F.col("lon"))
-    return llh(spark, sf).filter("abs(lat) < 80").select("id", F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"))
+    return llh(spark, sf).select("id", F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id AS flight, event_id AS seq, floor(epoch_us(ts) / 1000000)::BIGINT + 1 AS gps, 1 - value % 1 AS delay, event_id * 30 % 10000 - 1 AS frame, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT flight, seq, gps, delay, frame, 0::BIGINT AS wraps, i FROM s WHERE i = 1 UNION ALL
+ SELECT s.flight, s.seq, CASE WHEN s.gps = r.gps THEN s.gps + 1 WHEN s.gps = r.gps + 2 THEN s.gps - 1 ELSE s.gps END, s.delay, s.frame + CASE WHEN s.frame + r.wraps < r.frame THEN r.wraps + 10000 ELSE r.wraps END, CASE WHEN s.frame + r.wraps < r.frame THEN r.wraps + 10000 ELSE r.wraps END, s.i FROM r JOIN s ON s.flight = r.flight AND s.i = r.i + 1)
+SELECT flight, seq, gps, round(delay, 6) AS delay, frame FROM r""")
 def persec_repair_w12(spark, sf):
     e = i.table(spark, sf, "events")
     syncs = e.select(F.col("user_id").alias("flight"), F.col("event_id").alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("gps"), (F.col("value") % 1).alias("delay"), (F.col("event_id") * 30 % 10000).alias("frame"))
     return rounded(nv.normalise_syncs(syncs))
 
 
-@query()
+def place_sql(lat: str, lon: str, hei: str) -> str:
+    """x, y and z of a position."""
+    c = f"sqrt(1 - {g.EE!r}::DOUBLE * sin(radians({lat})) * sin(radians({lat})))"
+    n = f"({g.A!r}::DOUBLE / {c} + {hei})"
+    return f"{n} * cos(radians({lat})) * cos(radians({lon})) AS x, {n} * cos(radians({lat})) * sin(radians({lon})) AS y, ({g.A * (1 - g.EE)!r}::DOUBLE / {c} + {hei}) * sin(radians({lat})) AS z"
+
+
+def cross_sql(a: str, b: str) -> list[str]:
+    return [f"({a}{p} * {b}{q} - {a}{q} * {b}{p})" for p, q in (("y", "z"), ("z", "x"), ("x", "y"))]
+
+
+def dot_sql(a: list[str], b: list[str]) -> str:
+    return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+
+
+def axes(name: str) -> list[str]:
+    return [f"{name}{c}" for c in "xyz"]
+
+
+RAY_DEM = (
+    i.DEM + """, sc AS (SELECT s_suppkey AS scan, 51.975 - s_suppkey % 20 * 0.0003::DOUBLE AS lat, 0.02 + s_suppkey % 15 * 0.0004::DOUBLE AS lon, 1200::DOUBLE AS hei, (s_nationkey % 5 - 2)::DOUBLE AS roll, 1::DOUBLE AS pitch, (s_suppkey % 360)::DOUBLE AS heading FROM supplier),
+look0 AS (SELECT sc.*, k::INTEGER AS sample, (k - 4) * 2::DOUBLE AS ry, 0::DOUBLE AS vx, 0::DOUBLE AS vy, 1::DOUBLE AS vz FROM sc, range(9) t(k))""" + turn_sql("y", "ry", "look0", "look00") + look_sql("look00")
+    + ", ray AS (SELECT scan, sample, vx AS dx, vy AS dy, vz AS dz, " + place_sql("lat", "lon", "hei") + " FROM look5), vt AS (SELECT r, c, " + place_sql("(52 - r * 0.001::DOUBLE)", "(c * 0.001::DOUBLE)", "h") + """ FROM dem),
+tr AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, e.x - a.x AS wx, e.y - a.y AS wy, e.z - a.z AS wz FROM vt a JOIN vt b ON b.r = a.r AND b.c = a.c + 1 JOIN vt e ON e.r = a.r + 1 AND e.c = a.c + 1
+ UNION ALL SELECT a.x, a.y, a.z, e.x - a.x, e.y - a.y, e.z - a.z, b.x - a.x, b.y - a.y, b.z - a.z FROM vt a JOIN vt b ON b.r = a.r + 1 AND b.c = a.c JOIN vt e ON e.r = a.r + 1 AND e.c = a.c + 1),
+m0 AS (SELECT scan, sample, x - ax AS sx, y - ay AS sy, z - az AS sz, dx, dy, dz, ux, uy, uz, wx, wy, wz FROM ray, tr),
+m1 AS (SELECT *, """ + ", ".join(f"{e} AS p{c}" for c, e in zip("xyz", cross_sql("d", "w"), strict=True)) + ", " + ", ".join(f"{e} AS q{c}" for c, e in zip("xyz", cross_sql("s", "u"), strict=True)) + " FROM m0), m2 AS (SELECT *, "
+    + dot_sql(axes("u"), axes("p")) + " AS det FROM m1), m3 AS (SELECT scan, sample, " + dot_sql(axes("s"), axes("p")) + " / det AS bu, " + dot_sql(axes("q"), axes("d")) + " / det AS bv, " + dot_sql(axes("w"), axes("q")) + """ / det AS t FROM m2),
+hit AS (SELECT scan, sample, min(t) AS distance FROM m3 WHERE bu >= -1e-8 AND bv >= -1e-8 AND bu + bv <= 1 + 1e-8 AND t >= 0 GROUP BY scan, sample),
+land AS (SELECT scan, sample, distance, """ + CONSTANTS + ", x + distance * dx AS x, y + distance * dy AS y, z + distance * dz AS z FROM ray LEFT JOIN hit USING (scan, sample))" + HEIKKINEN.format(keys="scan, sample, distance", source="land")
+)
+
+
+@query("WITH " + RAY_DEM + " SELECT scan, sample, round(lon, 7) AS lon, round(lat, 7) AS lat, round(hei, 3) AS height, round(distance, 3) AS distance FROM back")
 def ray_dem_j18(spark, sf):
-    scans = i.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scan"), (51.975 - F.col("s_suppkey") % 20 * 0.0003).alias("lat"), (0.02 + F.col("s_suppkey") % 15 * 0.0004).alias("lon"), F.lit(1200.0).alias("hei"), (F.col("s_nationkey") % 5 - 2).cast("double").alias("roll"), F.lit(1.0).alias("pitch"), (F.col("s_suppkey") % 360).cast("double").alias("heading"))
+    k = F.col("s_suppkey")
+    scans = i.table(spark, sf, "supplier").select(k.alias("scan"), (51.975 - k % 20 * 0.0003).alias("lat"), (0.02 + k % 15 * 0.0004).alias("lon"), F.lit(1200.0).alias("hei"), (F.col("s_nationkey") % 5 - 2).cast("double").alias("roll"), F.lit(1.0).alias("pitch"), (k % 360).cast("double").alias("heading"))
     views = spark.range(9).select(F.col("id").cast("int").alias("sample"), F.lit(0.0).alias("rx"), ((F.col("id") - 4) * 2.0).alias("ry"), F.lit(0.0).alias("rz"))
-    return rounded(geo.locate_on_dem(scans, views, i.dem(spark), 0.0, 52.0, 0.001, 0.001), 5)
+    out = geo.locate_on_dem(scans, views, i.dem(spark), 0.0, 52.0, 0.001, 0.001)
+    return out.select("scan", "sample", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), F.round("height", 3).alias("height"), F.round("distance", 3).alias("distance"))
+
+
+# --- further operators ---------------------------------------------------------------------------
+@query("""WITH d AS (SELECT l_linenumber AS band, l_suppkey % 16 AS sample, l_extendedprice * CASE WHEN l_orderkey % 97 = 0 THEN 10 ELSE 1 END AS value FROM lineitem), s AS (SELECT *, avg(value) OVER w AS m, coalesce(stddev_samp(value) OVER w, 0) AS sd, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY band, sample))
+SELECT band, sample, round(avg(value), 4) AS mean, count(*) AS kept, count(*) < any_value(n) / 2 AS few FROM s WHERE abs(value - m) <= 3 * sd GROUP BY band, sample""")
+def dark_refined_default_a3(spark, sf):
+    item = i.table(spark, sf, "lineitem")
+    value = F.col("l_extendedprice") * F.when(F.col("l_orderkey") % 97 == 0, 10).otherwise(1)
+    return rounded(cal.dark_refined(item.select(F.col("l_linenumber").alias("band"), (F.col("l_suppkey") % 16).alias("sample"), value.alias("value"))), 4)
+
+
+@query("WITH " + DELTAS + " SELECT flight, (count(*) + coalesce(sum(CASE WHEN delta > 1 THEN delta - 1 END), 0))::BIGINT AS lines, 300::BIGINT AS samples FROM d GROUP BY flight")
+def output_dimensions_p17(spark, sf):
+    return cal.output_dimensions(lines(spark, sf), 20, 319)
+
+
+@query("WITH " + FLAGGED + """ SELECT line, sample, band, CASE WHEN f.mask & 11 <> 0 OR (f.mask & 4 <> 0 AND (band + sample) % 3 = 0) THEN 0 ELSE c.value END AS value FROM cells c JOIN flagged f USING (line, sample, band)""")
+def mask_join_j1(spark, sf):
+    cells, mask = i.cells(spark, sf).drop("label"), flagged(spark, sf).select("line", "sample", "band", "mask")
+    method = cells.select("line", "sample", "band", F.when((F.col("band") + F.col("sample")) % 3 == 0, 1).otherwise(8).alias("method"))
+    return cal.mask_level1(cells, mask, method, flags=15, methods=1).select("line", "sample", "band", "value")
+
+
+MATCHED = """raw AS (SELECT p_partkey AS band, p_retailprice AS wavelength FROM part), c AS (SELECT p_partkey AS cal_band, p_retailprice + (p_partkey % 3) * 0.004::DOUBLE AS w FROM part), matched AS (SELECT band, min(cal_band) AS cal_band FROM raw JOIN c ON abs(wavelength - w) <= 0.006::DOUBLE GROUP BY band)"""
+
+
+@query("WITH " + MATCHED + " SELECT m.band, p_size AS sample, p_retailprice AS gain FROM matched m JOIN part ON p_partkey = m.cal_band")
+def trim_gains_c5(spark, sf):
+    gains = i.table(spark, sf, "part").select(F.col("p_partkey").alias("band"), F.col("p_size").alias("sample"), F.col("p_retailprice").alias("gain"))
+    return cal.trim_gains(gains, wavelength_match_j6(spark, sf))
+
+
+@query("WITH " + MATCHED + " SELECT m.band, p_size AS sample FROM matched m JOIN part ON p_partkey = m.cal_band")
+def remap_bad_j7(spark, sf):
+    bad = i.table(spark, sf, "part").select(F.col("p_partkey").alias("band"), F.col("p_size").alias("sample"))
+    return cal.remap_bad_pixels(bad, wavelength_match_j6(spark, sf)).select("band", "sample")
+
+
+@query("SELECT (c_custkey // 4 - 2)::INTEGER AS sample, round(avg(c_acctbal), 6) AS rx, round(avg(c_nationkey), 6) AS ry, round(avg(c_custkey % 7), 6) AS rz FROM customer GROUP BY c_custkey // 4 HAVING c_custkey // 4 BETWEEN 2 AND 101")
+def view_binning_a9(spark, sf):
+    c = i.table(spark, sf, "customer")
+    return rounded(geo.bin_views(c.select(F.col("c_custkey").alias("sample"), F.col("c_acctbal").alias("rx"), F.col("c_nationkey").alias("ry"), (F.col("c_custkey") % 7).alias("rz")), 4, 2, 100))
+
+
+RAYS = ECEF + ", look0 AS (SELECT ecef.* , k AS sample, (k - 4) * 19.7::DOUBLE AS ry, 0::DOUBLE AS vx, 0::DOUBLE AS vy, 1::DOUBLE AS vz FROM ecef, range(9) t(k))" + turn_sql("y", "ry", "look0", "look00") + look_sql("look00") + ", ray AS (SELECT id, sample, vx, vy, vz, -(x * vx + y * vy + z * vz) AS down, degrees(acos(greatest(-1, least(1, -(x * vx + y * vy + z * vz) / sqrt(x * x + y * y + z * z))))) > 80 AS bad FROM look5)"
+
+
+def wide_rays(spark, sf):
+    views = spark.range(9).select(F.col("id").alias("sample"), F.lit(0.0).alias("rx"), ((F.col("id") - 4) * 19.7).alias("ry"), F.lit(0.0).alias("rz"))
+    return geo.rays(llh(spark, sf).withColumnRenamed("id", "scan"), views)
+
+
+@query("WITH " + RAYS + " SELECT id AS scan, sample, round(CASE WHEN NOT bad THEN vx END, 8) AS dx, round(CASE WHEN NOT bad THEN vy END, 8) AS dy, round(CASE WHEN NOT bad THEN vz END, 8) AS dz FROM ray")
+def view_rays_j12(spark, sf):
+    return wide_rays(spark, sf).select("scan", "sample", *[F.round(c, 8).alias(c) for c in ("dx", "dy", "dz")])
+
+
+@query("WITH " + RAYS + " SELECT count(*) FILTER (bad) AS bad FROM ray")
+def bad_views_a19(spark, sf):
+    return geo.bad_view_angles(wide_rays(spark, sf))
+
+
+@query("WITH " + RAYS + " SELECT id AS scan, max_by(sample, down) AS nadir FROM ray WHERE NOT bad GROUP BY id")
+def nadir_f15(spark, sf):
+    return geo.nadir(wide_rays(spark, sf))
+
+
+@query("WITH " + LLH + inverse_sql("id", "lon", "lat", "hei", "lon - 0.01", "lat + 0.02", "100::DOUBLE", "llh") + " SELECT id, round(azimuth, 5) AS azimuth, round(zenith, 5) AS zenith, round(distance, 4) AS path FROM inverse")
+def atmosphere_k11(spark, sf):
+    located = llh(spark, sf).withColumns({"pixel_lon": F.col("lon") - 0.01, "pixel_lat": F.col("lat") + 0.02, "pixel_hei": F.lit(100.0)})
+    return geo.atmosphere(located).select("id", F.round("azimuth", 5).alias("azimuth"), F.round("zenith", 5).alias("zenith"), F.round("path", 4).alias("path"))
+
+
+@query("WITH " + i.DEM + ", p AS (SELECT c_custkey AS id, c_nationkey % 61 AS r, c_custkey % 61 AS c FROM customer) SELECT id, h FROM p LEFT JOIN dem USING (r, c)")
+def dem_height_s24(spark, sf):
+    p = i.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 61 * 0.001 + 0.0004).alias("lon"), (52 - F.col("c_nationkey") % 61 * 0.001 - 0.0004).alias("lat"))
+    return geo.height_at(p, i.dem(spark), 0.0, 52.0, 0.001, 0.001).select("id", "h")
+
+
+@query("WITH " + i.SCANS + ", later AS (SELECT flight, scan, time + 1800 AS time FROM scans)" + LINEAR.format(scans="later") + " SELECT flight, scan, round(heading, 5) AS heading FROM linear")
+def attitude_offset_w9(spark, sf):
+    scans = i.scans(spark, sf)
+    out = nv.attitude_offset(scans, i.nav(spark, sf), nv.interpolate(scans, i.nav(spark, sf)), 1800.0)
+    return out.select("flight", "scan", F.round("heading", 5).alias("heading"))
+
+
+DEGREES = "deg AS (SELECT line, sample, x / 1000 AS lon, y / 1000 + 40 AS lat FROM points)"
+
+
+@query("WITH " + i.POINTS + ", " + DEGREES + """, s AS (SELECT line, max(lon) FILTER (sample = 20) AS x0, max(lat) FILTER (sample = 20) AS y0, max(lon) FILTER (sample = 21) AS x1, max(lat) FILTER (sample = 21) AS y1 FROM deg WHERE sample IN (20, 21) GROUP BY line),
+st AS (SELECT line, x0, y0, x1, y1, lag(x0) OVER (ORDER BY line) AS px, lag(y0) OVER (ORDER BY line) AS py FROM s), two AS (SELECT line, 0 AS kind, x0 AS ax, y0 AS ay, px AS qx, py AS qy FROM st WHERE px IS NOT NULL UNION ALL SELECT line, 1, x1, y1, x0, y0 FROM st WHERE px IS NOT NULL)""" + inverse_sql("line, kind", "ax", "ay", "0::DOUBLE", "qx", "qy", "0::DOUBLE", "two") + """
+SELECT 1 AS flight, round(sum(distance) FILTER (kind = 0) / (SELECT count(*) - 1 FROM s), 3) AS along, round(sum(distance) FILTER (kind = 1) / (SELECT count(*) - 1 FROM s), 3) AS across FROM inverse""")
+def mean_separation_a13(spark, sf):
+    p = i.points(spark, sf).withColumns({"x": F.col("x") / 1000, "y": F.col("y") / 1000 + 40, "flight": F.lit(1)})
+    return rounded(rs.mean_separation(p, 20), 3)
+
+
+def globe_sql(lon: str, lat: str, left: float, top: float, dx: float, dy: float, radius: float) -> str:
+    chord = "(p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z)"
+    return f"""WITH {i.POINTS}, pe AS (SELECT line, sample, {place_sql(f"({lat})", f"({lon})", "0::DOUBLE").replace("points.", "")} FROM (SELECT line, sample, x AS px, y AS py FROM points)), ce AS (SELECT r AS row, k AS col, {place_sql(f"({top} - (r + 0.5::DOUBLE) * {dy})", f"({left} + (k + 0.5::DOUBLE) * {dx})", "0::DOUBLE")} FROM range(20) a(r), range(22) b(k)),
+n AS (SELECT row, col, line, sample, {chord} AS d2 FROM ce c JOIN pe p ON {chord} <= {radius * radius!r}::DOUBLE), k AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d2, line, sample)::INTEGER AS rank FROM n)
+SELECT row, col, rank, line, sample, round(sqrt(d2), 2) AS distance FROM k WHERE rank <= 3"""
+
+
+def globe_nearest(spark, sf, lon, lat, left, top, dx, dy, radius):
+    points = i.points(spark, sf).withColumns({"px": F.col("x"), "py": F.col("y")}).withColumns({"x": F.expr(lon), "y": F.expr(lat)})
+    near = rs.nearest(rs.Grid(left, top, dx, dy, 20, 22).cells(spark), points, 3, radius, geodesic=True)
+    return near.select("row", "col", "rank", "line", "sample", F.round(F.sqrt("d2"), 2).alias("distance"))
+
+
+DATE_LINE = ("px / 1250 + 176", "py / 1250 + 60", 176.0, 68.0, 0.4, 0.4, 60_000.0)
+POLE = ("px / 30", "90 - py / 20000", -180.0, 90.0, 16.0, 0.02, 20_000.0)
+
+
+@query(globe_sql(*DATE_LINE))
+def knn_geodesic_j16(spark, sf):
+    # Beyond the date line longitudes start anew; the grid's go on.
+    lon = "CASE WHEN px / 1250 + 176 > 180 THEN px / 1250 + 176 - 360 ELSE px / 1250 + 176 END"
+    return globe_nearest(spark, sf, lon, *DATE_LINE[1:])
+
+
+@query(globe_sql(*POLE))
+def knn_pole_j17(spark, sf):
+    return globe_nearest(spark, sf, *POLE)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
@@ -67,6 +67,8 @@ def map_info(kind: str, left: float, top: float, x_size: float, y_size: float, z
     start = ["1", "1", f"{left:.10g}", f"{top:.10g}", f"{x_size:.10g}", f"{y_size:.10g}"]
     if kind == "utm":
         return ["UTM", *start, str(zone), "South" if south else "North", "WGS-84", "units=Meters"]
+    if kind == "osng":
+        return ["British National Grid", *start, "Ordnance Survey of Great Britain '36", "units=Meters"]
     if kind == "latlong":
         return ["Geographic Lat/Lon", *start, "WGS-84", "units=Degrees"]
     return [kind, *start]
@@ -167,11 +169,25 @@ def read_cube(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("envi").option("path", path).load()
 
 
+def joined_header(headers: list[dict[str, list[str]]]) -> dict[str, list[str]]:
+    """The header of single-band files as one cube: wavelengths and widths one after the other; other items must agree."""
+    many = {"wavelength", "fwhm", "band names"}
+    out = {k: [v for h in headers for v in h.get(k, [])] for k in many if k in headers[0]}
+    for key, value in headers[0].items():
+        if key in many or key == "bands":
+            continue
+        if any(h.get(key) != value for h in headers):
+            raise ValueError(f"the files' headers differ in {key}")
+        out[key] = value
+    return out | {"bands": [str(len(headers))]}
+
+
 def read_multifile(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Single-band files as the bands of one cube; their sizes and types must agree."""
     layouts = [Layout(p) for p in paths]
     if len({(a.lines, a.samples, a.bands, a.type) for a in layouts}) != 1 or layouts[0].bands != 1:
         raise ValueError("files of one cube must have one band each, and the same size and type")
+    joined_header([read_header(p) for p in paths])
     out = None
     for band, path in enumerate(paths):
         one = read_cube(spark, path).withColumn("band", F.lit(band))
@@ -189,6 +205,18 @@ def band_lines(cells: DataFrame) -> DataFrame:
     return cells.groupBy("line", "band").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("v")).select("line", "band", F.transform("v", lambda x: x["value"]).alias("values"))
 
 
+def narrow(value: Column, code: int, round_half: bool = True, clamp: bool = False) -> Column:
+    """K2, K4 as a column: whole values of a file's type, or doubles for its floating types."""
+    kind = np.dtype(TYPES[code])
+    if kind.kind == "f":
+        return value.cast("float" if kind.itemsize == 4 else "double")
+    whole = F.floor(value + 0.5) if round_half else value.cast("long")
+    limits = np.iinfo(kind)
+    if clamp:
+        whole = F.greatest(F.lit(int(limits.min)), F.least(F.lit(int(min(limits.max, 2**63 - 1))), whole))
+    return whole.cast("long") if kind.itemsize == 8 or kind == np.dtype("<u4") else whole.cast("int")
+
+
 def narrowed(values: np.ndarray, code: int, round_half: bool = True, clamp: bool = False) -> np.ndarray:
     """K2, K4: values in a file's type: half a unit is added before integers are cut (K2), or not (K4); clamp holds them in range."""
     kind = np.dtype(TYPES[code])

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import nmea_degrees
@@ -80,6 +80,22 @@ def read_syncs(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(good).select("file", "seq", (F.col("f")[0] == "$SPTSMP").alias("per_second"), F.slice("f", 2, 3).alias("fields"))
 
 
+#: Fixed values: $GPZDA has 8 fields, its day, month and year are the third to the fifth.
+_ZDA = ("$GPZDA", 8, 2)
+
+
+def prescan(spark: SparkSession, path: str) -> DataFrame:
+    """By file the number of good positions and syncs, whether syncs are per second, and the first day's seconds of the week (S14), null without $GPZDA."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), F.split(F.regexp_replace("value", r"\*.*$", ""), ",").alias("f"))
+    kind, n = F.col("f")[0], F.size("f")
+    name, size, at = _ZDA
+    day = F.when((kind == name) & (n == size), F.try_to_date(F.concat_ws("-", F.col("f")[at + 2], F.col("f")[at + 1], F.col("f")[at]), "y-M-d"))
+    counted = lines.groupBy("file").agg(
+        F.count_if((kind == "$GPGGA") & (n == 15)).alias("positions"), F.count_if((kind == "$SPTSMP2") & (n == 2)).alias("syncs"),
+        F.count_if((kind == "$SPTSMP") & (n == 4)).alias("second_syncs"), F.min_by(day, F.when(day.isNotNull(), F.col("seq"))).alias("day"))
+    return counted.select("file", "positions", F.greatest("syncs", F.when(F.col("syncs") == 0, F.col("second_syncs")).otherwise(0)).alias("syncs"), ((F.col("syncs") == 0) & (F.col("second_syncs") > 0)).alias("per_second"), ((F.dayofweek("day") - 1) * 86400).cast("long").alias("week_seconds"))
+
+
 def parse_sol(content: bytes) -> pd.DataFrame:
     """Records of 184 bytes; the time is the first of the two whose type is GPS (1)."""
     if len(content) % SOL.itemsize:
@@ -149,6 +165,14 @@ def sniff(path: str) -> str:
         return "nmea" if b"$GPGGA" in f.read(1 << 20) else "binary"
 
 
+def contiguous(ids: DataFrame) -> Column:
+    """True, if ids are the numbers from 1 to as many as there are; else an error. Distinct ids with that least and greatest have no gap."""
+    n = ids.agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"), F.min("id").alias("a"), F.max("id").alias("z")).first()
+    if n["n"] and (n["d"] != n["n"] or n["a"] != 1 or n["z"] != n["n"]):
+        raise ValueError("the ids of bad pixels are not the numbers from 1 on")
+    return F.lit(True)
+
+
 def read_bad_pixels(spark: SparkSession, path: str) -> DataFrame:
     """(band, sample, method) of the facility's form (`headerlines=N`, 0-based, methods A,B) or the vendor's (first line with `320 256`, 1-based)."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.trim("value").alias("value"))
@@ -156,6 +180,7 @@ def read_bad_pixels(spark: SparkSession, path: str) -> DataFrame:
     part = F.split("value", r"\s+")
     if first is not None and "320 256" in first["value"]:
         rows = lines.filter(F.col("n") > first["n"]).filter(F.size(part) >= 3)
+        rows = rows.filter(contiguous(rows.select(part[0].try_cast("long").alias("id"))))
         return rows.select((part[2].cast("long") - 1).alias("band"), (part[1].cast("long") - 1).alias("sample"), F.lit(0).alias("method")).distinct()
     rows = lines.filter(F.col("value").rlike(r"^\d+\s+\d+\s+\d+\s+[A-Fa-f,]+$"))
     bits = F.aggregate(F.split(F.upper(part[3]), ","), F.lit(0), lambda s, m: s.bitwiseOR(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), m), F.lit(0))))

@@ -123,8 +123,48 @@ def split_dark(bands: DataFrame, header: dict[str, list[str]]) -> tuple[DataFram
     return bands.filter(F.col("line") < start), bands.filter(F.col("line") >= start)
 
 
-def write_map(mapped: DataFrame, path: str, rows: int, cols: int, bands: int, code: int, info: list[str], nodata: float = 0.0, wavelengths: list[float] | None = None) -> None:
+def write_map(mapped: DataFrame, path: str, rows: int, cols: int, bands: int, code: int, info: list[str], nodata: float = 0.0, wavelengths: list[float] | None = None, names: list[str] | None = None, units: str | None = None) -> None:
     """A filled map (row, col, band, value), truncated to the type, with its place in the header."""
     c = mapped.select(F.col("row").alias("line"), "band", F.col("col").alias("sample"), F.col("value").cast("double").alias("value"))
-    header = {"map info": info, "data ignore value": nodata} | ({"wavelength": wavelengths} if wavelengths else {})
+    header = {"map info": info, "data ignore value": nodata} | {k: v for k, v in (("wavelength", wavelengths), ("band names", names), ("Radiance data units", units)) if v}
     envi.write_bil(envi.band_lines(c), path, code, rows, cols, bands, header, round_half=False)
+
+
+def write_detector(table: DataFrame, path: str, column: str, bands: int, samples: int) -> None:
+    """Dumps of dark means or gains (band, sample, column) as a cube of one line."""
+    c = table.select(F.lit(0).alias("line"), "band", "sample", F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("value"))
+    envi.write_bil(envi.band_lines(c), path, 4, 1, samples, bands)
+
+
+def write_level1(cells: DataFrame, prefix: str, lines: int, samples: int, bands: int, header: dict | None = None, fodis: DataFrame | None = None) -> list[str]:
+    """K6: the level-1 product set of cells (line, band, sample, value, mask and perhaps method): image, mask, method, and the FODIS spectrum (line, band, fodis). Returns the paths."""
+    paths = []
+
+    def put(table: DataFrame, column: str, end: str, code: int, wide: int, more: dict | None = None) -> None:
+        paths.append(f"{prefix}{end}")
+        c = table.select("line", "band", "sample", F.col(column).cast("double").alias("value"))
+        envi.write_bil(envi.band_lines(c), paths[-1], code, lines, wide, bands, more)
+
+    put(cells, "value", ".bil", 12, samples, header)
+    put(cells, "mask", "_mask.bil", 1, samples)
+    if "method" in cells.columns:
+        put(cells, "method", "_mask-badpixelmethod.bil", 1, samples)
+    if fodis is not None:
+        put(fodis.withColumn("sample", F.lit(0)), "fodis", "_FODIS.bil", 12, 1, header)
+    return paths
+
+
+def frame_counters(cells: DataFrame) -> DataFrame:
+    """Line and frame, the 16-bit counter in the cell (0, 0) of a raw line; a sub-sensor's lines keep the joint cube's."""
+    return cells.filter("band = 0 AND sample = 0").select("line", F.col("value").cast("long").alias("frame"))
+
+
+def load_bad_pixels(spark: SparkSession, sensor_id: int, prefix: str | None, bands: DataFrame | None = None) -> DataFrame | None:
+    """The bad pixels beside a calibration file, none for Eagle or without a prefix; bands (band, cal_band) turn them into raw bands."""
+    from ..operators.calibration import remap_bad_pixels, sensor_of
+    from .nav import read_bad_pixels
+
+    if sensor_of(sensor_id).eagle or not prefix:
+        return None
+    bad = read_bad_pixels(spark, f"{prefix}.bad")
+    return bad if bands is None else remap_bad_pixels(bad, bands)
