@@ -213,3 +213,55 @@ def test_documents_that_share_an_id_are_one(spark):
     rows = [(5, x), (5, y), (3, x), (9, y), (7, words(rng, 40)), (None, x)]
     got = {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(5, 3), (3, 3), (9, 3), (7, 7), (None, None)}
+
+
+# --- 4 -------------------------------------------------------------------------------------------
+def test_template_text_is_left_out(spark):
+    from scanforge.llm import html
+
+    rng = random.Random(40)
+    own = [words(rng, 30) for _ in range(7)]
+    page = lambda t, i: f"<html><body><div class=wrap><div class=lead>Read all our stories here</div><div class=c><p class=a>{t}</p><p class=b>{i}</p><p class=z>Share this story</p></div></div></body></html>"
+    rows = [(i, "http://one.example.com/x", page(t, f"number {i}")) for i, t in enumerate(own)] + [(100, "http://two.example.com/", page(own[0], "alone")), (101, None, None), (102, "http://one.example.com/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    # Alone, a page cannot tell its template; with its host it does.
+    assert all(got[i] == f"{t} number {i}" for i, t in enumerate(own)) and got[100].endswith("Share this story") and got[101] == got[102] == ""
+    assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_equal_pages_keep_their_text(spark):
+    from scanforge.llm import html
+
+    rows = [(i, "http://one.example.com/x", "<body><nav>a b</nav><article><h1>Title</h1><p>The same text</p></article></body>") for i in range(8)]
+    assert {r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Title The same text"}
+
+
+def test_hidden_layouts_are_shown():
+    from scanforge.llm import html
+
+    body = "<article><p>Body text</p></article>"
+    for page in (f"<div class='layout with-sidebar'>{body}</div>", f"<form id=aspnetForm>{body}</form>", "<div id=page class=no-sidebar><p>Body text</p></div>", f"{body}<div class=related><article><p>Teaser</p></article></div>", f"<aside><article>Side</article></aside>{body}"):
+        assert html.text_of(f"<html><body>{page}</body></html>", None) == "Body text"
+
+
+def test_deep_and_wide_pages():
+    from scanforge.llm import html
+
+    deep = "<div>" * 100_000 + "deep text" + "</div>" * 7 + "<b>" * 2000 + " more"
+    assert html.text_of(deep, None) == "deep text more"
+    wide = ["<body>" + "".join(f"<p class='{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{k}'>t{i}</p>" for i in range(50_000)) + "</body>" for k in "xy"]
+    wrapper = html.merged(*(html.wrapped(html.parse(p)) for p in wide))
+    assert html.text_of(wide[0], html.region(wrapper)) == " ".join(f"t{i}" for i in range(50_000))
+
+
+def test_alignment_is_longest_for_labels_that_differ():
+    from scanforge.llm import html
+
+    rng = random.Random(41)
+    for _ in range(200):
+        x, y = (rng.sample("abcdefghij", rng.randrange(10)) for _ in range(2))
+        got = html.matched(x, y)
+        assert all(x[i] == y[j] for i, j in got) and got == sorted(got) and [j for _, j in got] == sorted(j for _, j in got)
+        assert len(got) == longest_common(x, y)
+    assert html.matched(list("aab"), list("aba")) in ([(0, 0), (2, 1)], [(0, 0), (1, 2)])
