@@ -100,7 +100,8 @@ class Columns:
 
     def __init__(self, raw: np.ndarray):
         size = int.from_bytes(raw[:8].tobytes(), "little")
-        self.raw, self.begin, self.head = raw, 8 + size, json.loads(raw[8 : 8 + size].tobytes())
+        # A plain view: slices of memory maps are slow objects.
+        self.raw, self.begin, self.head = raw.view(np.ndarray), 8 + size, json.loads(raw[8 : 8 + size].tobytes())
 
     def __getitem__(self, name: str) -> np.ndarray:
         kind, at, n = self.head[name]

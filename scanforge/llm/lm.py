@@ -42,7 +42,7 @@ HELD_WORDS, HELD = 4_000_000, 3_000_000
 #: The most word ids in one file of statistics.
 RANGE = 1 << 16
 #: Bigrams of a file that share one sum of words before them.
-GROUP = 16
+GROUP = 8
 END = np.uint64(0x5E0D5E0D5E0D5E0D)
 _LOW, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 _PACKED = "bucket long, keys binary, counts binary"
@@ -254,7 +254,7 @@ class Model:
         known = ids < v
         p = np.full(len(ids), 1 / (v + 1))
         cut = lambda order, c: np.array([0.0, *self.discounts[order - 1]])[np.minimum(c, 3).astype(int)]
-        left = lambda order, n1, n2, n3: np.array(self.discounts[order - 1]) @ np.array([n1, n2, n3])
+        left = lambda order, *n: sum(d * x for d, x in zip(self.discounts[order - 1], n, strict=True))
         if self.continuations:
             total, n1, n2, n3, _ = self.of_word(shifted(ids, bounds, self.start))
             seen = self.of_word(ids)[4]
@@ -431,7 +431,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [held.value.score(texts) for _, _, texts in pieces(batch.column(1), 1 << 20)]
+            parts = [held.value.score(texts) for _, _, texts in pieces(batch.column(1), 1 << 21)]
             if parts:
                 columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
