@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +70,9 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         self.encode, self.known = None, {}  # from a word to the packed ids of the word with a space before it
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = [t["content"] for t in spec.get("added_tokens") or []]
@@ -81,6 +81,12 @@ class Encoder:
         if spec.get("normalizer") is None and all(split.get(k) == v for k, v in _BYTE_LEVEL.items()) and (ranks := _byte_ranks(spec["model"])):
             self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.encode is None or self.added and self.added.search(text):
             return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
