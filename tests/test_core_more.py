@@ -1,6 +1,7 @@
 """Guards, product files, sensor dispatch, streams and other operators beside the registered queries."""
 
 import json
+import os
 import pathlib
 
 import numpy as np
@@ -239,6 +240,8 @@ def streamed(spark, tmp_path, rows, schema, build):
     for k, part in enumerate(rows):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip([c.split()[0] for c in schema.split(", ")], r, strict=True))) for r in part))
+        # Files come in order of their times.
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     name = f"out_{tmp_path.name.replace('-', '_')}"
     query = build(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
