@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last return documents' columns as they came.
+
+Null and empty texts are scored like other texts; those that stay are copies of each other, match no
+benchmark passage and are packed as an end id alone. Rows without doc_id stay through near-dedup. Of
+repeated rows, and of ties, the row with the least doc_id stays. Long texts are read whole. Extra
+columns, of any name, are kept up to packing. Empty tables give no pieces.
 """
 
 from __future__ import annotations

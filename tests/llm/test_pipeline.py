@@ -30,3 +30,16 @@ def test_pipeline_keeps_what_each_stage_should(spark, tmp_path):
     tokens = {r["doc_id"]: r["doc_tokens"] for r in pieces}
     assert sum(r["length"] for r in pieces) == sum(tokens.values())
     assert tokens[5] == len(packing.encoder(packing.default_tokenizer())(good[5][1]))
+
+
+def test_pipeline_of_empty_tables_and_nulls(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, rows in (("none", []), ("some", [(1, None, None, None, None), (2, "", "en", None, 0), (None, "words of no id", None, None, 3), (3, "a text", None, "s", 6), (3, "a text", None, "s", 6)])):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sorted((r["doc_id"] or 0) for r in pieces if r["start"] == 0) == ([] if name == "none" else [0, 1, 3])
