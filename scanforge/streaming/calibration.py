@@ -1,7 +1,8 @@
 """Structured Streaming forms: calibration as a stream-static join, and checks that need the record before.
 
-State is one row per flight. Rows of a flight must arrive in order of line or time within the
-watermark's delay; later ones are handled as `late` says.
+The checks keep one small row per flight, for as long as the query runs. Within a batch their rows
+are put in order; rows that lie before one of an earlier batch are handled as `late` says: dropped, or
+an error. The bracketing join keeps rows within the watermarks only, and later ones are dropped.
 """
 
 from __future__ import annotations
@@ -24,22 +25,31 @@ def calibrate_stream(cells: DataFrame, dark: DataFrame, gains: DataFrame, integr
     return apply_gains(remove_dark(cells.withColumn("mask", F.lit(0)), dark), gains, integration_ms)
 
 
-def missing_frames_stream(lines: DataFrame) -> DataFrame:
-    """Lines (flight, line, frame) with the 16-bit counter's step from the flight's line before; state: the last counter."""
+def missing_frames_stream(lines: DataFrame, late: str = "drop") -> DataFrame:
+    """Lines (flight, line, frame) with the 16-bit counter's step from the flight's line before; state: the last line and counter.
+
+    late: drop lines that lie before the last one, or raise.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("line")
-        last = state.get[0] if state.exists else None
+        newest, last = state.get if state.exists else (None, None)
+        if newest is not None:
+            behind = rows["line"] < newest
+            if late == "raise" and behind.any():
+                raise ValueError("line goes backwards")
+            rows = rows[~behind]
         deltas = []
         for frame in rows["frame"]:
             delta = None if last is None else int(frame) - last
             deltas.append(delta + COUNTER_WRAP if delta is not None and delta <= 3 - COUNTER_WRAP else delta)
             last = int(frame)
-        state.update((last,))
+        if len(rows):
+            state.update((int(rows["line"].iloc[-1]), last))
         yield pd.DataFrame({"flight": key[0], "line": rows["line"], "frame": rows["frame"], "delta": pd.array(deltas, "Int64")})
 
     schema = f"flight {dict(lines.dtypes)['flight']}, line long, frame long, delta long"
-    return lines.groupBy("flight").applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy("flight").applyInPandasWithState(step, schema, "line long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def plausibility_stream(nav: DataFrame, late: str = "drop") -> DataFrame:
@@ -71,7 +81,17 @@ def plausibility_stream(nav: DataFrame, late: str = "drop") -> DataFrame:
 
 
 def bracket_stream(scans: DataFrame, nav: DataFrame, delay: str = "30 seconds", gap: str = "1 second") -> DataFrame:
-    """T4, T5: each scan (flight, ts) joined with the records (flight, nav_ts, ...) within gap of it, both under a watermark of `delay`."""
-    s, n = scans.withWatermark("ts", delay), nav.withColumnRenamed("flight", "nav_flight").withWatermark("nav_ts", delay)
-    near = (F.col("flight") == F.col("nav_flight")) & (F.col("nav_ts") >= F.col("ts") - F.expr(f"interval {gap}")) & (F.col("nav_ts") <= F.col("ts") + F.expr(f"interval {gap}"))
-    return s.join(n, near).drop("nav_flight")
+    """T4, T5: each scan (flight, ts, more columns) with the records (flight, nav_ts, more columns) around it, before and after.
+
+    As in the batch form, before is the last record under the scan's time, after the first from there on;
+    both lie within `gap` of it, and are null where no record does. A scan comes out once the watermark of
+    `delay` has passed it; scans without any record within the gap, and those without a time, do not.
+    Repeated scans are one.
+    """
+    record = F.struct("nav_ts", *[c for c in nav.columns if c not in ("flight", "nav_ts")])
+    s = scans.withWatermark("ts", delay).alias("s")
+    n = nav.withWatermark("nav_ts", delay).select(F.col("flight").alias("_flight"), "nav_ts", record.alias("_record")).alias("n")
+    near = (F.col("flight") == F.col("_flight")) & F.col("nav_ts").between(F.col("ts") - F.expr(f"interval {gap}"), F.col("ts") + F.expr(f"interval {gap}"))
+    under = F.col("nav_ts") < F.col("ts")
+    return s.join(n, near).groupBy(*scans.columns).agg(
+        F.max_by("_record", F.when(under, F.col("nav_ts"))).alias("before"), F.min_by("_record", F.when(~under, F.col("nav_ts"))).alias("after"))

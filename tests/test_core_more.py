@@ -238,12 +238,12 @@ def test_prescan_s25(spark, tmp_path):
 # --- streams -------------------------------------------------------------------------------------
 def streamed(spark, tmp_path, rows, schema, build):
     for k, part in enumerate(rows):
-        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in").mkdir(parents=True, exist_ok=True)
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip([c.split()[0] for c in schema.split(", ")], r, strict=True))) for r in part))
         # Files come in order of their times.
         os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    name = f"out_{tmp_path.name.replace('-', '_')}"
+    name = f"out_{tmp_path.parent.name}_{tmp_path.name}".replace("-", "_")
     query = build(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     return spark.table(name).collect()
@@ -257,6 +257,36 @@ def test_streamed_cells_are_calibrated_t1(spark, tmp_path):
     assert {(r["line"], r["value"], r["mask"]) for r in got} == {(0, 60.0, 0), (1, 0.0, 1)}
 
 
+def test_streamed_lines_behind_are_dropped_or_raise_t2(spark, tmp_path):
+    schema = "flight long, line long, frame long"
+    rows = [[(1, 5, 100), (1, 6, 101)], [(1, 2, 97), (1, 7, 103)], [(1, 3, 98)], [(1, 8, 104)]]
+    got = streamed(spark, tmp_path / "drop", rows, schema, st.missing_frames_stream)
+    assert sorted((r["line"], r["delta"]) for r in got) == [(5, None), (6, 1), (7, 2), (8, 1)]
+    with pytest.raises(Exception, match="line goes backwards"):
+        streamed(spark, tmp_path / "raise", rows, schema, lambda s: st.missing_frames_stream(s, "raise"))
+
+
+def test_streamed_scans_are_bracketed_t4_t5(spark, tmp_path):
+    """Each scan has the nearest record on either side, whatever the batch it came in."""
+    # One source with both kinds, so that scans and records come in the same batches.
+    at = lambda s: f"2020-01-01T00:{s // 60:02.0f}:{s % 60:06.3f}Z"
+    rows = [
+        [("nav", at(10.0), 1.0), ("nav", at(10.6), 2.0), ("scan", at(10.8), 0.0), ("scan", at(10.6), 0.0)],
+        [("nav", at(11.0), 3.0), ("nav", at(11.2), 4.0), ("scan", at(12.1), 0.0), ("scan", at(20.0), 0.0)],
+        [("nav", at(300.0), 9.0), ("scan", at(300.0), 0.0)],
+        [("nav", at(600.0), 9.0), ("scan", at(600.0), 0.0)],
+    ]
+
+    def build(s):
+        s = s.withColumn("flight", F.lit(1))
+        scans = s.filter("kind = 'scan'").select("flight", "ts")
+        return st.bracket_stream(scans, s.filter("kind = 'nav'").select("flight", F.col("ts").alias("nav_ts"), "lat"))
+
+    got = streamed(spark, tmp_path, rows, "kind string, ts timestamp, lat double", build)
+    seen = {r["ts"].minute * 60 + r["ts"].second + r["ts"].microsecond / 1e6: (r["before"] and r["before"]["lat"], r["after"] and r["after"]["lat"]) for r in got}
+    assert {k: v for k, v in seen.items() if k < 60} == {10.6: (1.0, 2.0), 10.8: (2.0, 3.0), 12.1: (4.0, None)}
+
+
 def test_streamed_records_are_checked_t3_t6(spark, tmp_path):
     names = list(nv.PLAUSIBLE)
     schema = "flight long, " + ", ".join(f"{n} double" for n in names)
