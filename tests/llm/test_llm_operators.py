@@ -147,6 +147,12 @@ def test_urls_equal_brute_force(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["matched"], got[i]["matched_verdict"]) == (host, path, *best[2:]), u
 
 
+def test_rules_are_the_contracts(spark):
+    pages = spark.createDataFrame([(0, "http://example.com/en/1"), (1, "http://a.example.com/en/71"), (2, "http://example.net/de/1"), (3, "http://b.example.net/de/81"), (4, "http://x.org/es/")], "page_id long, url string")
+    got = {r["page_id"]: (r["matched"], r["matched_verdict"]) for r in url_filter.judge(pages, url_filter.rules_and_list(spark)).collect()}
+    assert got == {0: ("com/en/", "block"), 1: ("example.com/en/7", "allow"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block"), 4: ("org/es/", "block")}
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 def test_html_text(spark):
     page = "<html><head><title>T</title></head><body><nav><a>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><header><h1>Head &lt;x&gt;</h1><span>by me</span></header>{}<div class=comments><p>Nice!</p></div></article><aside>side</aside><footer>foot</footer>"
