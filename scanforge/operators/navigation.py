@@ -209,7 +209,7 @@ def unroll_days(records: DataFrame, by: str = "flight") -> DataFrame:
     """Seconds of the day (column second, in order of seq) made continuous over midnight."""
     own = Window.partitionBy(by).orderBy("seq")
     back = (F.col("second") < F.lag("second").over(own)).cast("int")
-    return records.withColumn("time", F.col("second") + 86400 * F.coalesce(F.sum(back).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    return records.withColumn("time", F.col("second") + 86400 * F.coalesce(F.sum(back).over(own), F.lit(0)))
 
 
 def leap_seconds(date: Column) -> Column:

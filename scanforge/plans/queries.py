@@ -352,7 +352,7 @@ def scan_times_w10(spark, sf):
 
 @query("WITH " + i.NAV + ", b AS (SELECT flight, event_id, (time::BIGINT) % 86400 AS second, time FROM nav), l AS (SELECT *, (second < lag(second) OVER (PARTITION BY flight ORDER BY event_id))::INTEGER AS back FROM b) SELECT flight, event_id, (second + 86400 * coalesce(sum(back) OVER (PARTITION BY flight ORDER BY event_id), 0))::BIGINT AS time FROM l")
 def day_rollover_w13(spark, sf):
-    n = i.nav(spark, sf).select("flight", F.col("event_id").alias("seq"), (F.round("time").cast("long") % 86400).alias("second"))
+    n = i.nav(spark, sf).select("flight", F.col("event_id").alias("seq"), (F.rint("time").cast("long") % 86400).alias("second"))
     return nv.unroll_days(n).select("flight", F.col("seq").alias("event_id"), "time")
 
 

@@ -20,3 +20,8 @@ def same_as_sql(spark, path, name, **tables):
 
 def test_cubic_with_equal_places_r5(spark, tmp_path):
     same_as_sql(spark, tmp_path, "cubic_r5", customer="SELECT range AS c_custkey, 1::INTEGER AS c_nationkey, (range * 37 % 45 * 250 - 1000)::DOUBLE AS c_acctbal FROM range(6000)")
+
+
+def test_half_seconds_round_to_even_w13(spark, tmp_path):
+    events = "SELECT range AS event_id, TIMESTAMP '2024-01-01 23:59:00' + to_microseconds((range * 500000)::BIGINT) AS ts, range % 3 AS user_id, 1.0::DOUBLE AS value FROM range(400)"
+    same_as_sql(spark, tmp_path, "day_rollover_w13", events=events)
