@@ -21,6 +21,7 @@ PLAUSIBLE = {"time": (0.05, 64), "lat": (0.0001, 1), "lon": (0.0001, 2), "hei":
 LEAP_SECONDS = [("2006-01-01", 14), ("2009-01-01", 15), ("2012-07-01", 16), ("2015-07-01", 17), ("2017-01-01", 18)]
 FRAME_WRAP = 10000
 SLOT_SECONDS = 3600.0
+ROWS_PER_TASK = 500_000
 
 
 def plausibility(nav: DataFrame, force: bool = False) -> DataFrame:
@@ -69,26 +70,40 @@ def smooth(nav: DataFrame, kernel: int, fields: list[str] | None = None) -> Data
     return nav.withColumns(out)
 
 
+def pieces(*frames: DataFrame) -> int:
+    """Tasks over the rows of frames together, so that one sorts about ROWS_PER_TASK of them however many there are."""
+    return max(1, -(-sum(f.count() for f in frames) // ROWS_PER_TASK))
+
+
 def bracket(scans: DataFrame, nav: DataFrame, slot: float = SLOT_SECONDS) -> DataFrame:
     """Each scan (flight, time, more columns) with the records around it, before and after.
 
-    before is the last record with a time under the scan's, after the first from there on.
+    before is the last record with a time under the scan's, after the first from there on. Each record carries
+    the one after it, so all frames run forward from the first row and cost no more than a sort.
     """
-    record = F.struct("time", *FIELDS)
     cut = F.floor(F.col("time") / slot).cast("long")
-    points = nav.select("flight", cut.alias("slot"), "time", record.alias("record"))
-    edges = points.groupBy("flight", "slot").agg(F.min_by("record", "time").alias("first"), F.max_by("record", "time").alias("last"))
+    within, by_slot = Window.partitionBy("flight", "slot"), Window.partitionBy("flight").orderBy("slot")
+    few, many = pieces(nav), pieces(nav, scans)
+    points = nav.select("flight", cut.alias("slot"), "time", F.struct("time", *FIELDS).alias("record")).repartition(few, "flight", "slot")
+    # The record's fields settle the order of equal times, and place keeps it through the second sort.
+    points = points.withColumns({"place": F.row_number().over(within.orderBy("record")), "follows": F.lead("record").over(within.orderBy("record"))})
+    first, last = F.max(F.when(F.col("place") == 1, F.col("record"))), F.max(F.when(F.col("follows").isNull(), F.col("record")))
+    edges = points.filter("place = 1 OR follows IS NULL").groupBy("flight", "slot").agg(first.alias("first"), last.alias("last")).repartition(few, "flight")
+    edges = edges.select("flight", "slot", F.struct("slot", "last", F.lag("last").over(by_slot).alias("earlier"), F.lead("first").over(by_slot).alias("later")).alias("edge"), F.when(F.row_number().over(by_slot) == 1, F.col("first")).alias("start"))
     others = [c for c in scans.columns if c not in ("flight", "time")]
     asked = scans.select("flight", cut.alias("slot"), "time", F.struct("time", *others).alias("scan"))
-    slots = edges.unionByName(asked.select("flight", "slot").distinct(), allowMissingColumns=True).groupBy("flight", "slot").agg(F.first("first", True).alias("first"), F.first("last", True).alias("last"))
-    by_slot = Window.partitionBy("flight").orderBy("slot")
-    slots = slots.select(
-        "flight", "slot", F.last("last", True).over(by_slot.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.first("first", True).over(by_slot.rowsBetween(1, Window.unboundedFollowing)).alias("coming"),
-    )
-    rows = points.select("flight", "slot", "time", F.lit(1).alias("kind"), "record").unionByName(asked.select("flight", "slot", "time", F.lit(0).alias("kind"), "scan"), allowMissingColumns=True)
-    within = Window.partitionBy("flight", "slot").orderBy("time", "kind")
-    rows = rows.withColumns({"prev": F.last("record", True).over(within.rowsBetween(Window.unboundedPreceding, -1)), "next": F.first("record", True).over(within.rowsBetween(1, Window.unboundedFollowing))})
-    rows = rows.filter("kind = 0").join(slots, ["flight", "slot"], "left")
+    slots = asked.select("flight", "slot").repartition(many, "flight", "slot").distinct().withColumn("kind", F.lit(1)).unionByName(edges.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    forward = Window.partitionBy("flight").orderBy("slot", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    slots = slots.repartition(many, "flight").withColumns({"edge": F.last("edge", True).over(forward), "start": F.max("start").over(Window.partitionBy("flight"))}).filter("kind = 1")
+    carried = F.when(F.col("edge.slot") < F.col("slot"), F.col("edge.last")).otherwise(F.col("edge.earlier"))
+    coming = F.when(F.col("edge").isNull(), F.col("start")).otherwise(F.col("edge.later"))
+    slots = slots.select("flight", "slot", carried.alias("carried"), coming.alias("coming")).repartition(many, "flight", "slot")
+    rows = points.select("flight", "slot", "time", F.lit(1).alias("kind"), "place", "record", "follows").unionByName(asked.withColumn("kind", F.lit(0)), allowMissingColumns=True).repartition(many, "flight", "slot")
+    order = within.orderBy("time", "kind", "place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.max(F.when(F.col("place") == 1, F.col("record"))).over(within)
+    rows = rows.withColumns({"prev": F.last(F.when(F.col("kind") == 1, F.struct("record", "follows")), True).over(order), "start": start}).filter("kind = 0")
+    rows = rows.withColumn("next", F.when(F.col("prev").isNull(), F.col("start")).otherwise(F.col("prev.follows"))).select("flight", "slot", "scan", F.col("prev.record").alias("prev"), "next")
+    rows = rows.join(slots, ["flight", "slot"], "left")
     return rows.select("flight", "scan.*", F.coalesce("prev", "carried").alias("before"), F.coalesce("next", "coming").alias("after"))
 
 

@@ -72,6 +72,19 @@ def test_interpolation_crosses_slots_and_north(spark):
     assert got[15.0]["heading"] == pytest.approx(0.75) and got[101.0]["hei"] is None
 
 
+def test_brackets_equal_brute_force_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(nv, "ROWS_PER_TASK", 50)
+    rng = np.random.default_rng(4)
+    records = [(f, float(t), float(k), *[0.0] * 5) for f in range(2) for k, t in enumerate(rng.integers(0, 400, 150)) if not 100 < t < 200]
+    asked = [(f, float(t)) for f in range(3) for t in range(-20, 420, 5)]
+    n = spark.createDataFrame(records, "flight int, time double, lat double, lon double, hei double, roll double, pitch double, heading double")
+    out = nv.bracket(spark.createDataFrame(asked, "flight int, time double"), n, slot=7.0)
+    assert out.rdd.getNumPartitions() >= len(records + asked) // 50
+    got = {(r["flight"], r["time"]): tuple(r[c] and (r[c]["time"], r[c]["lat"]) for c in ("before", "after")) for r in out.collect()}
+    own = {f: sorted(r[1:3] for r in records if r[0] == f) for f in range(3)}
+    assert got == {(f, t): (max((r for r in own[f] if r[0] < t), default=None), min((r for r in own[f] if r[0] >= t), default=None)) for f, t in asked}
+
+
 def test_spline_is_exact_at_records_and_on_lines():
     t = np.array([0.0, 1, 2.5, 4, 7])
     assert nv.natural_spline(t, 3 * t + 1, np.array([0.5, 3, 6.5])) == pytest.approx([2.5, 10, 20.5])
