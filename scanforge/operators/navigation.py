@@ -168,7 +168,9 @@ INTERPOLATORS = {"linear": interpolate, "spline": spline}
 def attitude_offset(scans: DataFrame, nav: DataFrame, position: DataFrame, offset: float) -> DataFrame:
     """position's rows with roll, pitch and heading as they are `offset` seconds later."""
     late = interpolate(scans.select("flight", "time").withColumn("time", F.col("time") + offset), nav).select("flight", (F.col("time") - offset).alias("time"), "roll", "pitch", "heading")
-    return position.drop("roll", "pitch", "heading").join(late, ["flight", "time"])
+    tasks = pieces(scans, scans)
+    own, late = (f.repartition(tasks, "flight", "time") for f in (position.drop("roll", "pitch", "heading"), late))
+    return own.join(late, ["flight", "time"])
 
 
 def scan_times(lines: DataFrame) -> DataFrame:
