@@ -172,12 +172,13 @@ def match_wavelengths(raw: DataFrame, calibration: DataFrame, tolerance: float =
     """For each raw band the first calibration band within the tolerance; (band, cal_band), null where none is.
 
     A band join as an equi-join: wavelengths fall into cells of the tolerance, and a match is in the own or a neighbouring cell.
+    Equal wavelengths are matched once, by the first band among equal ones, so copies of a band cost no pairs.
     """
     cell = F.floor(F.col("wavelength") / tolerance).cast("long")
-    left = raw.select("band", "wavelength", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = calibration.select(F.col("band").alias("cal_band"), F.col("wavelength").alias("cal_wavelength"), cell.alias("cell"))
-    near = left.join(right, "cell").filter(F.abs(F.col("wavelength") - F.col("cal_wavelength")) <= tolerance).groupBy("band").agg(F.min("cal_band").alias("cal_band"))
-    return raw.select("band").join(near, "band", "left")
+    left = raw.select("wavelength").distinct().select("wavelength", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    right = calibration.groupBy(F.col("wavelength").alias("cal_wavelength")).agg(F.min("band").alias("cal_band")).withColumn("cell", F.floor(F.col("cal_wavelength") / tolerance).cast("long"))
+    near = left.join(right, "cell").filter(F.abs(F.col("wavelength") - F.col("cal_wavelength")) <= tolerance).groupBy("wavelength").agg(F.min("cal_band").alias("cal_band"))
+    return raw.select("band", "wavelength").join(near, "wavelength", "left").groupBy("band").agg(F.min("cal_band").alias("cal_band"))
 
 
 def trim_gains(gains: DataFrame, bands: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
 """Registered queries against their SQL on small tables with ties, halves and copies."""
 
+import threading
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from scanforge.operators import calibration as cal
 
 
 def same_as_sql(spark, path, name, **tables):
@@ -25,3 +30,18 @@ def test_cubic_with_equal_places_r5(spark, tmp_path):
 def test_half_seconds_round_to_even_w13(spark, tmp_path):
     events = "SELECT range AS event_id, TIMESTAMP '2024-01-01 23:59:00' + to_microseconds((range * 500000)::BIGINT) AS ts, range % 3 AS user_id, 1.0::DOUBLE AS value FROM range(400)"
     same_as_sql(spark, tmp_path, "day_rollover_w13", events=events)
+
+
+@pytest.mark.parametrize("name", ["wavelength_match_j6", "trim_gains_c5", "remap_bad_j7"])
+def test_copies_of_bands_j6_c5_j7(spark, tmp_path, name):
+    same_as_sql(spark, tmp_path, name, part="SELECT range AS p_partkey, (range % 50)::INTEGER AS p_size, (900 + range % 40 * 0.003)::DOUBLE AS p_retailprice FROM range(400)")
+
+
+def test_copies_of_a_wavelength_cost_no_pairs_j6(spark):
+    bands = spark.range(300_000).select(F.col("id").alias("band"), F.lit(500.0).alias("wavelength"))
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        assert cal.match_wavelengths(bands, bands).groupBy("cal_band").count().collect() == [(0, 300_000)]
+    finally:
+        stop.cancel()
