@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scanforge.operators import calibration as cal
+from scanforge.operators import geolocation as geo
 
 
 def same_as_sql(spark, path, name, **tables):
@@ -45,3 +46,8 @@ def test_copies_of_a_wavelength_cost_no_pairs_j6(spark):
         assert cal.match_wavelengths(bands, bands).groupBy("cal_band").count().collect() == [(0, 300_000)]
     finally:
         stop.cancel()
+
+
+def test_rays_of_a_tile_go_in_groups_j18(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geo, "RAYS_PER_GROUP", 20)
+    same_as_sql(spark, tmp_path, "ray_dem_j18", supplier="SELECT range AS s_suppkey, (range % 25)::INTEGER AS s_nationkey FROM range(20)")
