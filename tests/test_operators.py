@@ -86,10 +86,13 @@ def test_brackets_equal_brute_force_in_bounded_tasks(spark, monkeypatch):
     assert got == {(f, t): (max((r for r in own[f] if r[0] < t), default=None), min((r for r in own[f] if r[0] >= t), default=None)) for f, t in asked}
 
 
-def test_shifted_attitude_equals_interpolation_w9(spark):
+def test_shifted_attitude_equals_interpolation_w9(spark, monkeypatch):
+    monkeypatch.setattr(nv, "ROWS_PER_TASK", 1)
     n = nav(spark, [0, 10, 20, 100], [10, 20, 40, 80])
     scans = spark.createDataFrame([(1, 0.0), (1, 5.0), (1, 15.0)], "flight int, time double")
-    got = {r["time"]: (r["hei"], r["heading"]) for r in nv.attitude_offset(scans, n, nv.interpolate(scans, n), 5.0).collect()}
+    out = nv.attitude_offset(scans, n, nv.interpolate(scans, n), 5.0)
+    assert out.rdd.getNumPartitions() >= 6
+    got = {r["time"]: (r["hei"], r["heading"]) for r in out.collect()}
     assert got == {0.0: (100.0, 15.0), 5.0: (105.0, 20.0), 15.0: (115.0, 40.0)}
 
 
